@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, line_dedup, lm, packing
+from weftline.llm import fingerprint, line_dedup, lm, minhash, packing, toxicity
 from weftline.llm._common import fold, table
 
 
@@ -22,18 +22,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    return model.apply(docs).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edited = fingerprint.edited_texts(table(spark, sf_dir, "documents"))
-    items = edited.select(F.lit(0).alias("kind"), "doc_id", "text").unionByName(edited.select(F.lit(1).alias("kind"), "doc_id", F.col("edited").alias("text")))
-    prints = fingerprint.exact_groups(items, ["kind", "doc_id"])
-    own = prints.filter("kind = 0").select("doc_id", "fingerprint")
-    changed = prints.filter("kind = 1").select("doc_id", F.col("fingerprint").alias("edited_fingerprint"))
-    after = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    out = edited.select("doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256")).join(own, "doc_id").join(changed, "doc_id").join(after, "next_id")
+    out = fingerprint.edited_digests(table(spark, sf_dir, "documents"))
     alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
 
@@ -63,13 +63,17 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm.score_corpus(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_packing, op5_fingerprint, op7_line_dedup, op10_lm)
+    named = (op1_toxicity, op2_packing, op5_fingerprint, op7_line_dedup, op8_minhash, op10_lm)
     return {f.__name__: f for f in named}
 
 

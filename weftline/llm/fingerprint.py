@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._common import plain_text
+from weftline.llm._common import plain_text, stored
 
 
 def canonical(text: Column) -> Column:
@@ -31,27 +31,34 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), canon)), 16, "0")))
 
 
-def exact_groups(items: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id columns and ``fingerprint`` of each row; equal fingerprints are proven by comparing bytes.
+def shared(light: DataFrame) -> DataFrame:
+    """(id, wide, leader) of the rows of ``light`` (id, wide) whose bucket has several; the leader has the smallest id."""
+    buckets = light.groupBy("wide").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").drop("n")
+    return light.join(buckets, "wide")
+
 
-    Only texts in a bucket of several are moved.  A bucket's leader has the smallest ids; its text is
-    joined to each member's, by an equi-join on the bucket that Spark can split where it is skewed.
+def unequal(members: DataFrame) -> DataFrame:
+    """(id, more) of members (id, wide, leader, canon) whose bytes differ from their leader's; ``more`` tells them apart.
+
+    The leader's text is joined to its bucket by an equi-join, which Spark can split where it is skewed.
     """
-    key = F.struct(*[F.col(c).alias(f"i{n}") for n, c in enumerate(id_cols)])
-    canon = items.select(key.alias("id"), canonical(plain_text(text_col)).alias("canon")).withColumn("wide", wide_hash(F.col("canon")))
-    light = canon.select("id", "wide")
-    buckets = light.groupBy("wide").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").drop("n")
-    leaders = canon.join(buckets.select(F.col("wide").alias("w"), "leader"), (F.col("wide") == F.col("w")) & F.col("id").eqNullSafe(F.col("leader")), "left_semi")
-    leaders = leaders.groupBy("wide").agg(F.min("canon").alias("lead"))
-    unlike = canon.join(leaders, "wide").filter(F.col("canon") != F.col("lead")).select("id", "wide", F.sha2("canon", 256).alias("more"))
-    unlike = unlike.groupBy("id", "wide").agg(F.min("more").alias("more"))
-    out = light.join(unlike, ["id", "wide"], "left")
-    ids = [F.col("id")[f"i{n}"].alias(c) for n, c in enumerate(id_cols)]
-    return out.select(*ids, F.concat_ws("-", "wide", "more").alias("fingerprint"))
+    leads = members.filter("id = leader").groupBy("wide").agg(F.min("canon").alias("lead"))
+    return members.join(leads, "wide").filter("canon <> lead").select("id", F.sha2("canon", 256).alias("more")).distinct()
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id column and ``fingerprint`` of each row with an id; equal fingerprints are proven by comparing bytes.
+
+    Only the texts of buckets with several documents are compared.
+    """
+    canon = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), canonical(plain_text(text_col)).alias("canon"))
+    light = stored(canon.select("id", wide_hash(F.col("canon")).alias("wide")), "digests")
+    more = unequal(shared(light).join(canon, "id"))
+    return light.join(more, "id", "left").select(F.col("id").alias(id_col), F.concat_ws("-", "wide", "more").alias("fingerprint"))
 
 
 def next_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, next_id, n_chars, previous n_chars) in ascending order of ids; the last one's next is the first.
+    """(doc_id, next_id, n_chars, prev_id, prev_chars) in ascending order of ids; the last one's next is the first.
 
     ``docs`` has the ids and ``n_chars``.  Ids are dealt to ordered ranges; within a range a window
     finds the neighbour, and between ranges a table with one row for each range does.
@@ -60,27 +67,49 @@ def next_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.filter(F.col(id_col).isNotNull()).repartitionByRange(ranges, id_col).withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy(id_col)
-    near = dealt.withColumn("next_in", F.lead(id_col).over(w)).withColumn("prev_in", F.lag("n_chars").over(w))
-    near = near.withColumn("first_in", F.lag(id_col).over(w).isNull())
+    near = dealt.withColumn("next_in", F.lead(id_col).over(w)).withColumn("prev_in", F.lag(F.struct(id_col, "n_chars")).over(w))
     edges = dealt.groupBy("part").agg(F.min(F.struct(id_col, "n_chars")).alias("low"), F.max(F.struct(id_col, "n_chars")).alias("high"))
     whole = Window.orderBy("part")  # one row for each range, at most spark.sql.shuffle.partitions
     unbounded = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select(
         "part",
         F.coalesce(F.lead("low").over(whole), F.first("low").over(unbounded))[id_col].alias("next_out"),
-        F.coalesce(F.lag("high").over(whole), F.last("high").over(unbounded))["n_chars"].alias("prev_out"),
+        F.coalesce(F.lag("high").over(whole), F.last("high").over(unbounded)).alias("prev_out"),
     )
     joined = near.join(F.broadcast(edges), "part")
-    return joined.select(id_col, "n_chars", F.coalesce("next_in", "next_out").alias("next_id"), F.when(F.col("first_in"), F.col("prev_out")).otherwise(F.col("prev_in")).alias("prev_chars"))
-
-
-def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_chars, next_id, edited): the last quarter replaced by the next document's head."""
-    base = docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text"))
-    order = next_document(base.select("doc_id", F.char_length("text").cast("long").alias("n_chars")))
-    full = base.join(order, "doc_id")
-    quarter = lambda n: F.floor(F.col(n) / 4).cast("int")
-    heads = full.select(F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, cast(floor(prev_chars / 4) as int))").alias("head"))
-    out = full.join(heads, "next_id")
-    kept = F.substring("text", F.lit(1), (F.col("n_chars") - quarter("n_chars")).cast("int"))
-    return out.select("doc_id", "text", "n_chars", "next_id", F.concat(kept, F.when(quarter("n_chars") > 0, F.col("head")).otherwise("")).alias("edited"))
+    before = F.coalesce("prev_in", "prev_out")
+    return joined.select(id_col, "n_chars", F.coalesce("next_in", "next_out").alias("next_id"), before[id_col].alias("prev_id"), before["n_chars"].alias("prev_chars"))
+
+
+def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, whose last quarter is the next document's head.
+
+    Texts move twice: each to its place in the order of ids, and the heads (a quarter at most) to the
+    document before.  The canonical texts of buckets with several documents stay in the stored table
+    of digests for the comparison of bytes; an edited text is compared with its own document there.
+    """
+    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
+    light = stored(base.select("id", F.char_length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("wide")), "digests")
+    order = next_document(light.select("id", "n_chars"), "id")
+    members = shared(light.select("id", "wide"))
+    full = base.join(order, "id")
+    heads = full.select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, cast(floor(prev_chars / 4) as int))").alias("head"))
+    edited = full.select("id", "text", "n_chars", "next_id").join(heads, "id").join(members.select("id", F.lit(True).alias("several")).distinct(), "id", "left")
+    kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))")
+    edited = edited.withColumn("edited", F.concat(kept, "head")).withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
+    same = F.col("canon") == F.col("edited_canon")
+    digests = stored(
+        edited.select(
+            "id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), same.alias("same"), wide_hash(F.col("edited_canon")).alias("edited_wide"),
+            F.when(~same & (wide_hash(F.col("canon")) == wide_hash(F.col("edited_canon"))), F.sha2("edited_canon", 256)).alias("edited_more"), F.when(F.col("several"), F.col("canon")).alias("canon"),
+        ),
+        "edited",
+    )
+    more = unequal(members.join(digests.select("id", "canon"), "id"))
+    prints = light.select("id", "wide").join(more, "id", "left").select("id", F.concat_ws("-", "wide", "more").alias("fingerprint"))
+    after = prints.select(F.col("id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    out = digests.drop("canon").join(prints, "id").join(after, "next_id")
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint",
+        F.when(F.col("same"), F.col("fingerprint")).otherwise(F.concat_ws("-", "edited_wide", "edited_more")).alias("edited_fingerprint"), "next_fingerprint",
+    )

@@ -11,6 +11,7 @@ along; equal rows are packed as often as they occur; an empty table gives an emp
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,36 +27,54 @@ from pyspark.sql import types as T
 from weftline.llm._common import plain_text, slices, stored
 
 #: Characters whose handling could differ between Python's and the tokenizer's own Unicode tables.
-_UNUSUAL = re.compile("[^\t\n\r -\x7e\xa1-˿‐-‧‰-⁞₠-₿]|[İ\xaa\xba]")
+_UNUSUAL = re.compile("[^\t\n\r -\x7e\xa1-\u02ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\u0130\xaa\xba]")
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as 256, 257, ... in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
 
 
 class ChunkTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's tokenizer splits at white space before anything else, so that ids can be looked
-    up chunk by chunk in a bounded cache; chunks not held are encoded together.  A text with a
-    character outside the plainly mapped ranges goes to the tokenizer whole.
+    A vocabulary that lower-cases, splits at white space and then by a pattern, and merges bytes, lets
+    each chunk between white space be encoded by itself: its ids are looked up in a bounded cache,
+    and made by the vocabulary's own merges where they are not held.  A text with a character outside
+    the plainly mapped ranges, and any text of another kind of vocabulary, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, held: int = 200_000):
+    def __init__(self, path: str, held: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.held, self.cache = held, {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.asarray(got.ids, "<u4").tobytes()
+        self.model, self.held, self.cache, self.words = self.tokenizer.model, held, {}, {}
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        normal = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        first, *others = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_chunk = normal == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and [x["type"] for x in others] == ["ByteLevel"]
+        if self.by_chunk:
+            self.pattern, self.alphabet = regex.compile(first["pattern"]["Regex"]), _byte_alphabet()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.words[word] = np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.held:
-            self.cache.clear()
-        split = [None if _UNUSUAL.search(x) else x.split() for x in texts]
-        self._learn([x for x in set(itertools.chain.from_iterable(x for x in split if x)) if x not in self.cache])
+        if len(self.cache) > self.held or len(self.words) > self.held:
+            self.cache, self.words = {}, {}
+        split = [x.lower().split() if self.by_chunk and not _UNUSUAL.search(x) else None for x in texts]
+        for chunk in set(itertools.chain.from_iterable(x for x in split if x)):
+            if chunk not in self.cache:
+                self.cache[chunk] = b"".join(map(self._word, self.pattern.findall(chunk)))
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) if x is not None else self._whole(t) for t, x in zip(texts, split, strict=True)]
 
