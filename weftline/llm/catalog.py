@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, line_dedup, lm, minhash, packing, toxicity
+from weftline.llm import fingerprint, line_dedup, lm, minhash, mixing, packing, toxicity
 from weftline.llm._common import fold, table
 
 
@@ -38,6 +38,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("cell_weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -73,7 +78,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_packing, op5_fingerprint, op7_line_dedup, op8_minhash, op10_lm)
+    named = (op1_toxicity, op2_packing, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op10_lm)
     return {f.__name__: f for f in named}
 
 
