@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, line_dedup, lm, minhash, mixing, packing, toxicity
+from weftline.llm import fingerprint, line_dedup, lm, minhash, mixing, packing, pii, toxicity
 from weftline.llm._common import fold, table
 
 
@@ -32,6 +32,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_digests(table(spark, sf_dir, "documents"))
     alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
@@ -78,7 +83,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_packing, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op10_lm)
+    named = (op1_toxicity, op2_packing, op3_pii, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op10_lm)
     return {f.__name__: f for f in named}
 
 
