@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, line_dedup, lm, minhash, mixing, packing, pii, toxicity
+from weftline.llm import fingerprint, line_dedup, lm, minhash, mixing, packing, pii, quality, toxicity
 from weftline.llm._common import fold, table
 
 
@@ -37,6 +37,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_digests(table(spark, sf_dir, "documents"))
     alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
@@ -83,7 +88,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_packing, op3_pii, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op10_lm)
+    named = (op1_toxicity, op2_packing, op3_pii, op4_quality, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op10_lm)
     return {f.__name__: f for f in named}
 
 
