@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, line_dedup, lm, minhash, mixing, packing, pii, quality, toxicity
+from weftline.llm import fingerprint, license, line_dedup, lm, minhash, mixing, packing, pii, quality, toxicity
 from weftline.llm._common import fold, table
 
 
@@ -82,13 +82,17 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm.score_corpus(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_packing, op3_pii, op4_quality, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op10_lm)
+    named = (op1_toxicity, op2_packing, op3_pii, op4_quality, op5_fingerprint, op6_mixing, op7_line_dedup, op8_minhash, op9_license, op10_lm)
     return {f.__name__: f for f in named}
 
 
