@@ -6,20 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-WORDS = """
-SELECT word, count(*) AS n FROM (
-  SELECT explode(split(trim(regexp_replace(text, '[\\\\x09-\\\\x0D\\\\x20]+', ' ')), ' ')) AS word FROM {documents}
-) WHERE word <> '' GROUP BY word
-"""
+from weftline.queries import calls, objects, registry, status
 
-
-def wordcount_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(WORDS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+MODULES = (calls, objects, status)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"wordcount_global": wordcount_global}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -27,8 +27,7 @@ class Handle:
     def map(self, function: Callable, **options: Any) -> Handle:
         """Feed each result to ``function``; a tuple fans out to its parameters.  These calls then give no result of their own."""
         self.silent = True
-        calls = self.frame.select("call_id", "value").mapInArrow(_rebinder(function), "call_id long, args binary")
-        return self.engine._added(opaque.apply(calls, function, **options), single=False)
+        return self.engine._added(opaque.apply(opaque.rebound(self.frame, function), function, **options), single=False)
 
     def reduce(self, function: Callable, extra: tuple = ()) -> Handle:
         self.silent = True
@@ -51,21 +50,6 @@ class Handle:
         return out
 
 
-def _rebinder(function: Callable):
-    import pyarrow as pa
-    from pyspark import cloudpickle
-
-    packed = cloudpickle.dumps(function)
-
-    def rebind(batches):
-        f = pickle.loads(packed)
-        for batch in batches:
-            args = [None if v is None else cloudpickle.dumps(bind(f, pickle.loads(v))) for v in batch.column("value").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("call_id"), pa.array(args, pa.binary())], names=["call_id", "args"])
-
-    return rebind
-
-
 class Engine:
     """Runs Python functions over lists of inputs on a session, and gives results in call order."""
 

@@ -11,6 +11,8 @@ import contextlib
 import io
 import os
 import pickle
+import subprocess
+import sys
 import time
 import traceback
 from collections.abc import Callable, Iterator
@@ -20,10 +22,24 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from weftline.functions.binding import invoke
+from weftline.functions.binding import bind, invoke
 
 RESULT = "call_id long, value binary, is_none boolean, exc_type string, exc_message string, exc_traceback string, exc binary, attempts int, seconds double, log string"
+_TYPES = {"long": T.LongType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
+_FIELDS = [T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in RESULT.split(", "))]
+
+_CHILD = """
+import os, pickle, sys
+answer = os.fdopen(os.dup(1), "wb")
+os.dup2(2, 1)
+sys.path[:0] = pickle.load(sys.stdin.buffer)
+from weftline.operators.opaque import attempt
+answer.write(pickle.dumps(attempt(*pickle.load(sys.stdin.buffer))))
+answer.flush()
+"""
 
 
 def inputs(spark: SparkSession, bound: list[dict[str, Any]], chunksize: int = 1) -> DataFrame:
@@ -33,6 +49,19 @@ def inputs(spark: SparkSession, bound: list[dict[str, Any]], chunksize: int = 1)
     return frame.repartitionByRange(max(1, -(-len(rows) // max(1, chunksize))), "call_id")
 
 
+def calls_of(df: DataFrame, call_id: str, columns: dict[str, str]) -> DataFrame:
+    """(call_id, args): a call for each row, with arguments by name from the row's columns."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[1:]
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(dict(zip(names, r, strict=True))) for r in rows], pa.binary())], names=["call_id", "args"])
+
+    chosen = df.select(F.col(call_id).cast("long").alias("call_id"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return chosen.mapInArrow(pack, "call_id long, args binary")
+
+
 @contextlib.contextmanager
 def environment(extra: dict[str, Any] | None) -> Iterator[None]:
     """Environment variables for the time of a call."""
@@ -45,54 +74,149 @@ def environment(extra: dict[str, Any] | None) -> Iterator[None]:
             os.environ.pop(k) if v is None else os.environ.__setitem__(k, v)
 
 
-def _attempt(function: Callable, args: dict, call_id: int, retries: int, extra_env: dict | None) -> tuple:
+def _failure(e: BaseException, attempts: int, began: float, log: str = "") -> tuple:
+    try:
+        packed = cloudpickle.dumps(e)
+        pickle.loads(packed)
+    except Exception:
+        packed = None
+    return None, False, type(e).__name__, str(e), "".join(traceback.format_exception(e)), packed, attempts, time.time() - began, log
+
+
+def attempt(function: Callable | bytes, args: dict | bytes, call_id: int, retries: int, extra_env: dict | None, hooks: tuple = (None, None)) -> tuple:
+    """The fields of a result row behind its id.  The hooks run before and after each call, failed ones included."""
+    function, args = (pickle.loads(x) if isinstance(x, bytes) else x for x in (function, args))
     attempts, began, log = 0, time.time(), io.StringIO()
     while True:
         attempts += 1
         try:
             with environment(extra_env), contextlib.redirect_stdout(log):
-                value = invoke(function, args, call_id)
+                if hooks[0]:
+                    hooks[0]()
+                try:
+                    value = invoke(function, args, call_id)
+                finally:
+                    if hooks[1]:
+                        hooks[1]()
             return cloudpickle.dumps(value), value is None, None, None, None, None, attempts, time.time() - began, log.getvalue()
         except Exception as e:
-            if attempts <= retries:
-                continue
-            try:
-                packed = cloudpickle.dumps(e)
-                pickle.loads(packed)
-            except Exception:
-                packed = None
-            return None, False, type(e).__name__, str(e), traceback.format_exc(), packed, attempts, time.time() - began, log.getvalue()
-
-
-def apply(calls: DataFrame, function: Callable, retries: int = 0, extra_env: dict | None = None) -> DataFrame:
-    """Call ``function`` for each row of (call_id, args)."""
+            if attempts > retries:
+                return _failure(e, attempts, began, log.getvalue())
+
+
+def _limited(packed: bytes, args: bytes, call_id: int, retries: int, extra_env: dict | None, hooks: tuple, timeout: float) -> tuple:
+    """A call in a process of its own: over time it fails with TimeoutError, and with MemoryError if it ends without a word."""
+    began, sent = time.time(), pickle.dumps(sys.path) + cloudpickle.dumps((packed, args, call_id, retries, extra_env, hooks))
+    try:
+        done = subprocess.run([sys.executable, "-c", _CHILD], input=sent, stdout=subprocess.PIPE, timeout=timeout, check=False)
+    except subprocess.TimeoutExpired:
+        return _failure(TimeoutError(f"the call took more than {timeout} seconds"), 1, began)
+    return pickle.loads(done.stdout) if done.stdout else _failure(MemoryError("the call's process ended without a result"), 1, began)
+
+
+def apply(calls: DataFrame, function: Callable, retries: int = 0, extra_env: dict | None = None, timeout: float | None = None, hooks: tuple = (None, None), keep: list[str] | None = None) -> DataFrame:
+    """Call ``function`` for each row of (call_id, args); the columns ``keep`` go along."""
+    packed, kept = cloudpickle.dumps(function), keep or []
+    schema = T.StructType([*_FIELDS, *(calls.schema[c] for c in kept)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        f = pickle.loads(packed)
+        for batch in batches:
+            pairs = zip(batch.column("call_id").to_pylist(), batch.column("args").to_pylist(), strict=True)
+            rows = [(i, *(attempt(f, a, i, retries, extra_env, hooks) if timeout is None else _limited(packed, a, i, retries, extra_env, hooks, timeout))) for i, a in pairs]
+            made = [pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(_FIELDS))]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in kept)], names=schema.names)
+
+    return calls.select("call_id", "args", *kept).mapInArrow(run, schema)
+
+
+def rebound(results: DataFrame, function: Callable) -> DataFrame:
+    """Results as the calls of ``function``: a tuple fans out to its parameters.  Failed calls are left out."""
     packed = cloudpickle.dumps(function)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = pickle.loads(packed)
         for batch in batches:
-            rows = [(i, *_attempt(f, pickle.loads(a), i, retries, extra_env)) for i, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
+            args = [cloudpickle.dumps(bind(f, pickle.loads(v))) for v in batch.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("call_id"), pa.array(args, pa.binary())], names=["call_id", "args"])
+
+    return results.filter("value is not null").select("call_id", "value").mapInArrow(run, "call_id long, args binary")
+
+
+def fan_out(results: DataFrame, function: Callable) -> DataFrame:
+    """(parent_id, call_id, args): the lists that calls returned as further calls of ``function``, numbered within each parent."""
+    packed = cloudpickle.dumps(function)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = pickle.loads(packed)
+        for batch in batches:
+            for parent, value in zip(batch.column("call_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                args = [cloudpickle.dumps(bind(f, x)) for x in pickle.loads(value) or ()]
+                yield pa.RecordBatch.from_arrays([pa.array([parent] * len(args), pa.int64()), pa.array(range(len(args)), pa.int64()), pa.array(args, pa.binary())], names=["parent_id", "call_id", "args"])
+
+    return results.filter("value is not null").select("call_id", "value").mapInArrow(run, "parent_id long, call_id long, args binary")
+
+
+def typed(results: DataFrame, kind: str) -> DataFrame:
+    """``results`` with their values as a column ``result`` of a Spark type; null for failed calls."""
+    others = [f for f in results.schema.fields if f.name != "value"]
+    schema = T.StructType([*others, T.StructField("result", T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = to_arrow_schema(schema).field("result").type
+        for batch in batches:
+            values = pa.array([None if v is None else pickle.loads(v) for v in batch.column("value").to_pylist()], to)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), values], names=schema.names)
+
+    return results.mapInArrow(run, schema)
+
+
+def fold(df: DataFrame, key: str, value: str, function: Callable, kind: str, most_keys: int = 100_000) -> DataFrame:
+    """(key, value): the values of each key joined by an associative and commutative function of two.
+
+    Each task folds what it reads, and passes on when it holds ``most_keys`` keys; a key's group behind
+    the shuffle has a row for each of these, not for each value.
+    """
+    packed = cloudpickle.dumps(function)
+    schema = T.StructType([df.schema[key], T.StructField("value", T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
+
+    def arrays(held: dict) -> list[pa.Array]:
+        return [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip((list(held), list(held.values())), schema.fields, strict=True)]
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, held = pickle.loads(packed), {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = f(held[k], v) if k in held else v
+            if len(held) > most_keys:
+                yield pa.RecordBatch.from_arrays(arrays(held), names=schema.names)
+                held = {}
+        yield pa.RecordBatch.from_arrays(arrays(held), names=schema.names)
+
+    def behind(group: pa.Table) -> pa.Table:
+        f, (first, *rest) = pickle.loads(packed), group.column(1).to_pylist()
+        for v in rest:
+            first = f(first, v)
+        return pa.Table.from_arrays(arrays({group.column(0)[0].as_py(): first}), names=schema.names)
 
-    return calls.select("call_id", "args").mapInArrow(run, RESULT)
+    return df.select(key, value).mapInArrow(before, schema).groupBy(key).applyInArrow(behind, schema)
 
 
 def reduce(results: DataFrame, function: Callable, key: str | None = None, extra: tuple = ()) -> DataFrame:
     """Call ``function`` once for each key with the list of values in call order, None values included.
 
-    The list of a key is in one task's memory; sums, counts and other associative reductions should
-    be stated as aggregates instead.
+    The list of a key is in one task's memory: the function asks for it whole.  :func:`fold` and
+    aggregates have no such limit.
     """
     packed = cloudpickle.dumps(function)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("call_id")
         values = [pickle.loads(v) if v is not None else None for v in group.column("value").to_pylist()]
-        out = _attempt(lambda values, *more: pickle.loads(packed)(values, *more), {"values": values, "more": extra}, 0, 0, None)
-        kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.float64(), pa.string())
+        out = attempt(lambda values, *more: pickle.loads(packed)(values, *more), {"values": values, "more": extra}, 0, 0, None)
         row = (group.column("call_id")[0].as_py(), *out)
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
+        return pa.Table.from_arrays([pa.array([v], to_arrow_type(f.dataType)) for v, f in zip(row, _FIELDS, strict=True)], names=[f.name for f in _FIELDS])
 
     keyed = results.withColumn("_key", F.col(key) if key else F.lit(0))
     return keyed.select("_key", "call_id", "value").groupBy("_key").applyInArrow(run, RESULT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICE = 0.000017
@@ -14,17 +14,15 @@ def job_summary(calls: DataFrame, job: str, memory: str, runtime: str) -> DataFr
     return calls.rollup(job).agg(F.count("*").alias("calls"), F.sum(memory).alias("memory"), F.avg(runtime).alias("runtime"), cost.alias("cost"))
 
 
-def active_calls(calls: DataFrame, call: str, start: str, end: str, width: int) -> DataFrame:
-    """(bin, active): calls with start <= bin < end at each multiple of ``width`` in the calls' span.
+def active_calls(calls: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """(bin, active): calls with start <= bin < end at each multiple of ``width`` from the first to the last that a call could cover.
 
     Each call adds one at its first bin and takes one away behind its last; a running sum over the
-    bins replaces the join of bins with intervals.
+    bins replaces the join of bins with intervals.  Its window has a row for each bin, not for each call.
     """
-    first = (F.ceil(F.col(start) / width) * width).cast("long")
-    behind = (F.ceil(F.col(end) / width) * width).cast("long")
-    steps = calls.select(F.explode(F.array(F.struct(first.alias("bin"), F.lit(1).alias("d")), F.struct(behind.alias("bin"), F.lit(-1).alias("d")))).alias("e")).select("e.*")
-    changes = steps.groupBy("bin").agg(F.sum("d").alias("d"))
-    from pyspark.sql import Window
-
-    running = F.sum("d").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # a row for each bin, not for each call
-    return changes.select("bin", running.cast("long").alias("active"))
+    first, behind = ((F.ceil(F.col(c) / width) * width).cast("long") for c in (start, end))
+    both = F.array(F.struct(first.alias("bin"), F.lit(1).alias("d")), F.struct(behind.alias("bin"), F.lit(-1).alias("d")))
+    changes = calls.select(F.explode(both).alias("e")).groupBy("e.bin").agg(F.sum("e.d").alias("d"))
+    w = Window.orderBy("bin")
+    runs = changes.select("bin", F.lead("bin").over(w).alias("until"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("active")).filter("until is not null")
+    return runs.select(F.explode(F.sequence(F.col("bin"), F.col("until") - width, F.lit(width).cast("long"))).alias("bin"), "active")

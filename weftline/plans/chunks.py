@@ -36,3 +36,16 @@ def owned_lines(objects: DataFrame, key: str, text: str, chunk_size: int, separa
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.select(key, F.col("pos").cast("long").alias("pos"), F.col("_z._lines").alias("line"), F.coalesce(F.sum("_z._sizes").over(w), F.lit(0)).cast("long").alias("start"))
     return placed.select(key, (F.floor(F.col("start") / chunk_size) + 1).cast("long").alias("part"), "pos", "line", "start")
+
+
+def fixed_chunks(objects: DataFrame, key: str, text: str, chunk_size: int) -> DataFrame:
+    """(key, part, chunk): bytes of ``chunk_size`` each, the last of an object shorter; lines may be cut."""
+    body = F.col(text).cast("binary")
+    parts = F.sequence(F.lit(0), F.ceil(F.octet_length(body) / chunk_size).cast("int") - 1)
+    each = objects.filter(F.octet_length(body) > 0).select(key, body.alias("_b"), F.explode(parts).alias("_k"))
+    return each.select(key, (F.col("_k") + 1).cast("long").alias("part"), F.substring("_b", F.col("_k") * chunk_size + 1, F.lit(chunk_size)).alias("chunk"))
+
+
+def byte_range(text: str, first: int, last: int) -> Column:
+    """The bytes ``first`` to ``last``, both included, counted from 0."""
+    return F.substring(F.col(text).cast("binary"), first + 1, last - first + 1)
