@@ -19,12 +19,19 @@ from pyspark.sql import functions as F
 from weftline.llm._common import plain_text, stored
 
 
+#: White space besides the plain space.
+_OTHER = r"\t\n\x0B\f\r\u0085\u00a0\u2028\u2029"
+
+
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, single spaces.  ASCII texts need no normalisation and skip that call."""
+    """NFKC, lower case, single spaces.  ASCII texts need no normalisation and skip that call.
+
+    A lone plain space is left as it is, so that most words need no replacement.
+    """
     nfkc = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(
         F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     )
-    return F.btrim(F.regexp_replace(F.lower(nfkc), r"[\s \u0085  ]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(nfkc), f" *[{_OTHER}][ {_OTHER}]*|  +", " "))
 
 
 def wide_hash(canon: Column) -> Column:
@@ -58,9 +65,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def next_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, next_id, n_chars, prev_id, prev_chars) in ascending order of ids; the last one's next is the first.
+    """The columns of ``docs``, next_id, prev_id and prev_chars in ascending order of ids; the last one's next is the first.
 
-    ``docs`` has the ids and ``n_chars``.  Ids are dealt to ordered ranges; within a range a window
+    ``docs`` has the ids, ``n_chars`` and perhaps more short columns.  Ids are dealt to ordered ranges; within a range a window
     finds the neighbour, and between ranges a table with one row for each range does.
     """
     spark = docs.sparkSession
@@ -78,7 +85,7 @@ def next_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
     joined = near.join(F.broadcast(edges), "part")
     before = F.coalesce("prev_in", "prev_out")
-    return joined.select(id_col, "n_chars", F.coalesce("next_in", "next_out").alias("next_id"), before[id_col].alias("prev_id"), before["n_chars"].alias("prev_chars"))
+    return joined.select(*docs.columns, F.coalesce("next_in", "next_out").alias("next_id"), before[id_col].alias("prev_id"), before["n_chars"].alias("prev_chars"))
 
 
 def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,19 +96,24 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of digests for the comparison of bytes; an edited text is compared with its own document there.
     """
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
-    light = stored(base.select("id", F.char_length("text").cast("long").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("wide")), "digests")
-    order = next_document(light.select("id", "n_chars"), "id")
+    # The call of the normaliser is not merged with its like, so each canonical text is a column before it is used twice.
+    canon = base.select("id", F.char_length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon"))
+    light = stored(canon.select("id", "n_chars", wide_hash(F.col("canon")).alias("wide")), "digests")
+    order = next_document(light, "id")
     members = shared(light.select("id", "wide"))
     full = base.join(order, "id")
     heads = full.select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, cast(floor(prev_chars / 4) as int))").alias("head"))
-    edited = full.select("id", "text", "n_chars", "next_id").join(heads, "id").join(members.select("id", F.lit(True).alias("several")).distinct(), "id", "left")
+    edited = full.select("id", "text", "n_chars", "wide", "next_id").join(heads, "id").join(members.select("id", F.lit(True).alias("several")).distinct(), "id", "left")
     kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))")
-    edited = edited.withColumn("edited", F.concat(kept, "head")).withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
-    same = F.col("canon") == F.col("edited_canon")
+    edited = edited.withColumn("edited", F.concat(kept, "head")).withColumn("edited_canon", canonical(F.col("edited")))
+    edited = edited.withColumn("edited_wide", wide_hash(F.col("edited_canon"))).withColumn("alike", F.col("wide") == F.col("edited_wide"))
+    # Only a text with copies, or with the hash of its edited text, is compared by its bytes.
+    edited = edited.withColumn("canon", F.when(F.col("alike") | F.col("several"), canonical(F.col("text"))))
+    same = F.col("alike") & (F.col("canon") == F.col("edited_canon"))
     digests = stored(
         edited.select(
-            "id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), same.alias("same"), wide_hash(F.col("edited_canon")).alias("edited_wide"),
-            F.when(~same & (wide_hash(F.col("canon")) == wide_hash(F.col("edited_canon"))), F.sha2("edited_canon", 256)).alias("edited_more"), F.when(F.col("several"), F.col("canon")).alias("canon"),
+            "id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), same.alias("same"), "edited_wide",
+            F.when(F.col("alike") & ~same, F.sha2("edited_canon", 256)).alias("edited_more"), F.when(F.col("several"), F.col("canon")).alias("canon"),
         ),
         "edited",
     )
