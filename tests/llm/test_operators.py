@@ -232,6 +232,24 @@ def test_op8_classes_equal_brute_force(spark):
     assert {i: r["class_id"] for i, r in rows.items()} == {i: root(i) for i in range(len(made))}
 
 
+def test_op8_finds_twins_in_a_crowd_of_similar_forms(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    form, made, twins = words(170).split(), [], []
+    for _ in range(100):  # any two are about 0.7 alike
+        made.append(" ".join([*form, words(30)]))
+    for k in range(6):  # twins lack the same part of the form and have 0.83 of each other, all of it in the form
+        twins.append(len(made))
+        made += [" ".join([*form[: 20 * k], *form[20 * k + 20 :], words(14)]) for _ in range(2)]
+    sets = [Counter(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in made]
+    for i in range(len(made)):
+        for j in range(i):
+            alike = sum((sets[i] & sets[j]).values()) / sum((sets[i] | sets[j]).values())
+            assert (alike >= 0.8) == (i == j + 1 and j in twins)
+    rows = got(minhash.near_duplicate_classes(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), bands=8, rows=1))
+    assert {i: r["class_id"] for i, r in rows.items()} == {i: i - (i - 1 in twins) for i in range(len(made))}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a = (np.arange(100, dtype=np.uint64) * np.uint64(7919), np.ones(100, np.int64))
     b = (a[0], np.where(np.arange(100) < 50, 1, 3))

@@ -7,9 +7,11 @@ however long it is.  Coordinate j of its signature is the earliest dart marked j
 share it with probability their weighted Jaccard similarity.
 
 Documents with equal multisets are one class from the start and go on as their smallest id.  In
-each bucket of a band every member is compared with one leader, never with all others, and the
-comparison is exact, over whole texts.  Rounds with other leaders follow among members that are
-still in different classes, until a round finds no link.
+each bucket of a band every member is compared with one leader first, and the comparison is exact,
+over whole texts.  Rounds with other leaders follow among members that are still in different classes,
+while they link a tenth of their pairs.  All pairs that are then still in different classes are settled by
+a prefix filter over whole shingle sets: it passes every pair that is alike enough, and those that
+it passes are compared exactly.
 
 Nulls and edge cases: a null text is empty; texts without words are one class; a text of fewer than five
 words is one shingle; rows with a null id are in no class (class null) and never removed; rows with
@@ -168,10 +170,63 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("id", "label")
 
 
+def _led(buckets: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, la, lb) of a leader a and a member b of its bucket or part of a bucket, in different classes."""
+    if turn % 2:
+        grouped = buckets.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("n") / 4).cast("long"))).withColumn("crowd", F.lit(0))
+    else:
+        crowds = buckets.groupBy("id").agg(F.sum("n").alias("crowd"))
+        grouped = buckets.withColumn("part", F.lit(0).cast("long")).join(crowds, "id")
+    rank = F.struct((-F.col("crowd")).alias("c"), F.xxhash64(F.lit(turn), F.col("id")).alias("p"), "id", "label")
+    lead = grouped.groupBy("band", "part").agg(F.min(rank).alias("lead"))
+    return grouped.join(lead, ["band", "part"]).filter("label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb")).distinct()
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """(id, label, size, unit): a row for each unit of weight of each shingle of ``members`` (id, label, text)."""
+    kind = members.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("label", kind), T.StructField("size", T.LongType()), T.StructField("unit", T.LongType())])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for part in slices(batches, 64):
+            sets = [shingles(t, hashes) for t in byte_texts(part.column("text"))]
+            sizes = np.array([w.sum() for _, w in sets], np.int64)
+            weights = np.concatenate([w for _, w in sets]).astype(np.int64)
+            level = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+            with np.errstate(over="ignore"):
+                unit = _mix(np.repeat(np.concatenate([h for h, _ in sets]), weights) + level.astype(np.uint64) * _ODD[0]).view(np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(np.repeat(sizes, sizes)), pa.array(unit)], names=schema.names)
+
+    return members.select("id", "label", "text").mapInArrow(cells, schema)
+
+
+def _unsettled(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, la, lb) of ``members`` (id, label, text) in different classes that a prefix filter cannot refute.
+
+    All units are ordered alike: those of a single class first, then the rare before the frequent.  Two sets of sizes s
+    and t that are alike enough share a unit among the first s - ceil(threshold * s) + 1 of the one and likewise of the
+    other, and after the first one they share, at places i and j, at most min(s - i, t - j) units are common to both.
+    """
+    units = stored(_units(members), "units")
+    shared = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("unit", "n")
+    sets = units.join(shared, "unit").groupBy("id").agg(F.min("label").alias("label"), F.min("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "unit"))).alias("units"))
+    placed = sets.select("id", "label", "size", F.size("units").alias("some"), F.posexplode("units").alias("at", "u")).select("id", "label", "size", F.col("u.unit").alias("unit"), (F.col("size") - F.col("some") + F.col("at")).alias("place"))
+    slack = 1e-9  # for the products' rounding
+    heads = stored(placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - slack)), "heads")
+    one = heads.select("unit", F.col("id").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("place").alias("pa"))
+    two = heads.select("unit", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
+    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+    alike = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (most >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - slack)
+    return one.join(two, (one["unit"] == two["unit"]) & alike).select("a", "b", "la", "lb").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id column, class_id) for each distinct id: the smallest id among its near duplicates.
 
     A pair at similarity s meets in some band with probability 1 - (1 - s^rows)^bands: 0.9996 at 0.8.
+    Each pair that meets is settled: in one class by links, or shown to be less alike than ``threshold``.
     """
     signed = stored(signatures(docs, bands, rows, id_col, text_col), "signatures")
     same = signed.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -183,19 +238,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
     # Whole texts move once; the rounds read those of documents that share a bucket.
     held = stored(base.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    labels, turn = None, 0
+    labels, turn, settling = None, 0, False
     while True:
-        # Two kinds of turns.  In one, a bucket's leader is its member that shares most bucket places with others: the
-        # centre of a group of copies.  In the other, a bucket is dealt at random to groups of about four with a leader each.
-        if turn % 2:
-            grouped = buckets.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("n") / 4).cast("long"))).withColumn("crowd", F.lit(0))
-        else:
-            crowds = buckets.groupBy("id").agg(F.sum("n").alias("crowd"))
-            grouped = buckets.withColumn("part", F.lit(0).cast("long")).join(crowds, "id")
-        rank = F.struct((-F.col("crowd")).alias("c"), F.xxhash64(F.lit(turn), F.col("id")).alias("p"), "id", "label")
-        lead = grouped.groupBy("band", "part").agg(F.min(rank).alias("lead"))
-        pairs = grouped.join(lead, ["band", "part"]).filter("label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb")).distinct()
-        pairs = stored(pairs, "pairs")
+        # Two kinds of turns, and a last one that leaves no pair open.  In one, a bucket's leader is its member that shares
+        # most bucket places with others: the centre of a group of copies.  In the other, a bucket is dealt at random to
+        # groups of about four with a leader each.
+        pairs = stored(_unsettled(held.join(buckets.select("id", "label").distinct(), "id"), threshold) if settling else _led(buckets, turn), "pairs")
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         found = stored(_verified(pairs.select("a", "b"), held.join(wanted, "id", "left_semi"), threshold), "verified")
         turn += 1
@@ -210,8 +258,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
             marked = buckets.join(new, buckets["label"] == new["old"], "left").select("id", "band", "n", F.coalesce("new", "label").alias("label"))
             open_bands = marked.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
             buckets = stored(marked.join(open_bands, "band").select("id", "band", "n", "label"), "buckets")
-        elif turn > 1:
+        if settling or buckets.isEmpty():
             break
+        settling = found.count() * 10 <= pairs.count()
     if labels is not None:
         members = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("rep"))
     return members.groupBy("id").agg(F.min("rep").alias("class_id")).withColumnRenamed("id", id_col)
