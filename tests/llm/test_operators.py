@@ -179,6 +179,34 @@ def test_op6_meets_its_targets(spark, docs):
     assert mixing.sample(docs).columns == docs.columns
 
 
+def test_op6_kept_rows_meet_the_targets_on_a_hot_source(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["words"] * int(rng.integers(20, 60))), ["en", "de"][i % 7 == 0], f"s{0 if i % 3 == 0 else 1 + i % 19}", int(rng.integers(0, 3))) for i in range(8000)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject int")
+    mixed = mixing.mix(made, topic_col="subject").collect()
+    tokens = Counter()
+    for r in mixed:
+        tokens[r["source"]] += r["_tokens"]
+    expected = sum(r["_tokens"] * r["_probability"] for r in mixed)
+    kept = sum(r["_tokens"] for r in mixed if r["_kept"])
+    feasible = []
+    for d in ("source", "lang", "subject"):
+        sums = Counter()
+        for r in mixed:
+            sums[r[d]] += r["_tokens"]
+        feasible += [n / (n**0.7 / sum(m**0.7 for m in sums.values())) for n in sums.values()]
+    assert 0.9 * min(feasible) < expected <= 1.01 * min(feasible)
+    for source, n in tokens.items():
+        target = n**0.7 / sum(m**0.7 for m in tokens.values())
+        assert sum(r["_tokens"] * r["_probability"] for r in mixed if r["source"] == source) / expected == pytest.approx(target, rel=0.02)
+        assert sum(r["_tokens"] for r in mixed if r["source"] == source and r["_kept"]) / kept == pytest.approx(target, rel=0.1)
+    some = spark.createDataFrame([("s0", 0.5), ("s1", 0.5)], "source string, share double")
+    mixed = mixing.mix(made, {"source": some}, topic_col="subject")
+    assert {r["source"] for r in mixed.filter("_kept").select("source").distinct().collect()} == {"s0", "s1"}
+    reached = {r["value"]: r for r in mixing.marginals(mixed, "subject").filter("dimension = 'source'").collect()}
+    assert reached["s0"]["target"] == pytest.approx(0.5) and reached["s0"]["expected"] == pytest.approx(0.5) and reached["s2"]["kept"] == 0
+
+
 def test_op7_equals_its_sql(spark, small):
     agree(catalog.op7_line_dedup(spark, small), duck(small), catalog.OP7_SQL)
 
