@@ -305,6 +305,65 @@ def test_op10_base_scores(spark, small, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_model(tokens: dict[int, list[str]], learn: set[int], order: int):
+    """Probability functions of an interpolated n-gram model, counted with dictionaries."""
+    pad = lambda t: ["<s>"] * (order - 1) + t
+    counts, contexts = Counter(), Counter()
+    for i in learn:
+        t = pad(tokens[i])
+        for at in range(order - 1, len(t)):
+            for n in range(1, order + 1):
+                counts[tuple(t[at - n + 1 : at + 1])] += 1
+                contexts[tuple(t[at - n + 1 : at])] += 1
+    total, words = contexts[()], {g for g in counts if len(g) == 1}
+    seen, once = Counter(), Counter()
+    for g, c in counts.items():
+        if len(g) > 1:
+            b = len(g), int(math.log2(contexts[g[:-1]]))
+            seen[b] += c
+            once[b] += c == 1
+
+    def p(history: tuple, word: str) -> float:
+        out = (counts[(word,)] + 1) / (total + len(words) + 1)
+        for n in range(2, order + 1):
+            h = history[len(history) - n + 1 :]
+            if contexts[h]:
+                b = n, int(math.log2(contexts[h]))
+                share = (once[b] + 0.5) / (seen[b] + 1)
+                out = (1 - share) * counts[(*h, word)] / contexts[h] + share * out
+        return out
+
+    return p, pad, [w for (w,) in words]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_op10_scores_equal_a_plain_model_that_sums_to_one(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)  # several blocks and shards
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    rng = np.random.default_rng(10)
+    made = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 80)) % 200)) for i in range(120)]
+    made += [(120, None), (121, "Only HERE once here"), (None, "w1 w2 no id")]
+    rows = lm.score_corpus(spark.createDataFrame(made, "doc_id long, text string").repartition(3), order=order).collect()
+    tokens = {i: [*(t or "").lower().split(), "</s>"] for i, t in made}
+    p, pad, words = plain_model(tokens, {i for i in tokens if i is not None and zlib.crc32(str(i).encode()) % 7 != 2}, order)
+    assert len(rows) == len(made)
+    for r in rows:
+        t = pad(tokens[r["doc_id"]])
+        wanted = sum(math.log10(p(tuple(t[at - order + 1 : at]), t[at])) for at in range(order - 1, len(t)))
+        assert r["score"] == pytest.approx(wanted, rel=1e-3)
+    for history in (("<s>",) * (order - 1), tuple(pad(tokens[5])[3 : order + 2])):
+        assert sum(p(history, w) for w in [*words, "never seen"]) == pytest.approx(1, rel=1e-9)
+
+
+def test_trie_finds_what_it_holds_and_nothing_else(tmp_path):
+    rng = np.random.default_rng(11)
+    grams = np.unique(rng.zipf(1.3, (30_000, 3)) % 3000, axis=0)
+    held = rng.random(len(grams)) < 0.6
+    codes = rng.integers(1, 1000, len(grams)).astype(np.uint16)
+    trie = lm.Trie.build([c[held] for c in grams.T], codes[held], 3000, str(tmp_path))
+    assert trie.lookup(list(grams.T)).tolist() == np.where(held, codes, 0).tolist()
+
+
 def test_elias_fano_is_exact():
     values = np.sort(np.random.default_rng(6).integers(0, 1 << 40, 500).astype(np.uint64))
     held = lm.EliasFano.build(values, 1 << 40)
