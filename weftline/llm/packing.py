@@ -1,7 +1,7 @@
 """First-fit-decreasing sequence packing with a tournament tree of bin capacities.
 
-Each document's token ids, closed by ``end_id``, are cut into pieces of at most ``length``.  Pieces
-are dealt at random to groups of about ``group_pieces``; each group is packed on its own by first-fit
+Each document's token ids, closed by ``end_id``, are cut into pieces of at most ``length``.  Documents
+are dealt at random to groups of about ``group_pieces`` pieces; each group is packed on its own by first-fit
 decreasing, the first bin with room being found by descending a tournament tree of the room left.
 
 Nulls and edge cases: a null text is an empty one, which gives the end id alone; a null id is carried
@@ -10,6 +10,7 @@ along; equal rows are packed as often as they occur; an empty table gives an emp
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -37,27 +38,40 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+#: Steps of the vocabularies whose chunks between white space can be encoded one by one.
+_BY_CHUNK = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class ChunkTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A vocabulary that lower-cases, splits at white space and then by a pattern, and merges bytes, lets
     each chunk between white space be encoded by itself: its ids are looked up in a bounded cache,
     and made by the vocabulary's own merges where they are not held.  A text with a character outside
-    the plainly mapped ranges, and any text of another kind of vocabulary, goes to the tokenizer whole.
+    the plainly mapped ranges or with the name of an added token, and any text of another kind of
+    vocabulary, goes to the tokenizer whole.  When a cache is full it becomes the old one, from which
+    chunks that come again are taken over.
     """
 
-    def __init__(self, path: str, held: int = 300_000):
+    def __init__(self, path: str, held: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.held, self.cache, self.words = self.tokenizer.model, held, {}, {}
+        self.model, self.held, self.cache, self.old, self.words = self.tokenizer.model, held, {}, {}, {}
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
-        normal = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        self.names = sorted({x for t in made.get("added_tokens") or () for x in (t["content"], t["content"].lower())})
+        normal = (made.get("normalizer") or {}).get("normalizers", [])
         first, *others = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_chunk = normal == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and [x["type"] for x in others] == ["ByteLevel"]
+        splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "Regex" in first["pattern"]
+        plain = not made.get("post_processor") and not made["model"].get("dropout") and made["model"]["type"] == "BPE"
+        self.by_chunk = bool(splits and plain and normal + others == _BY_CHUNK)
         if self.by_chunk:
             self.pattern, self.alphabet = regex.compile(first["pattern"]["Regex"]), _byte_alphabet()
 
@@ -68,13 +82,27 @@ class ChunkTokenizer:
             ids = self.words[word] = np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return ids
 
+    def _chunk(self, chunk: str) -> bytes:
+        """A letter run is one word; the pattern cuts the others."""
+        return self._word(chunk) if chunk.isascii() and chunk.isalpha() else b"".join(map(self._word, self.pattern.findall(chunk)))
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """The chunks of a text that can be encoded one by one."""
+        if not self.by_chunk or _UNUSUAL.search(text):
+            return None
+        lower = text.lower()
+        return None if any(x in text or x in lower for x in self.names) else lower.split()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.held or len(self.words) > self.held:
-            self.cache, self.words = {}, {}
-        split = [x.lower().split() if self.by_chunk and not _UNUSUAL.search(x) else None for x in texts]
+        if len(self.cache) > self.held:
+            self.cache, self.old = {}, self.cache
+        if len(self.words) > self.held:
+            self.words = {}
+        split = [self._chunks(x) for x in texts]
         for chunk in set(itertools.chain.from_iterable(x for x in split if x)):
             if chunk not in self.cache:
-                self.cache[chunk] = b"".join(map(self._word, self.pattern.findall(chunk)))
+                ids = self.old.get(chunk)
+                self.cache[chunk] = self._chunk(chunk) if ids is None else ids
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) if x is not None else self._whole(t) for t, x in zip(texts, split, strict=True)]
 
@@ -82,6 +110,12 @@ class ChunkTokenizer:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@functools.lru_cache(maxsize=2)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process, so that its cache serves all tasks that run there."""
+    return ChunkTokenizer(path)
+
+
 def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each size.  The tree's leaves are the bins' room, its nodes the larger child."""
     n = max(1, len(sizes))
@@ -106,12 +140,12 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens and a salt."""
+    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens and a salt, the document's number in its task."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "salt")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, salt = ChunkTokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), 0
+        encode, end, salt = chunk_tokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), 0
         for part in slices(batches):
             owner, rows = [], []
             for row, ids in enumerate(encode(part.column(1).to_pylist())):
@@ -120,8 +154,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
                 for at in range(0, total, length):
                     piece = ids[4 * at : 4 * (at + length)]
                     owner.append(row)
-                    rows.append((at, len(piece) // 4, zlib.crc32(piece), total, salt))
-                    salt += 1
+                    rows.append((at, len(piece) // 4, zlib.crc32(piece), total, salt + row))
+            salt += part.num_rows
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *columns], names=schema.names)
 
@@ -131,11 +165,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece with its ``sequence_id`` and its ``offset`` there.
 
-    Sequence ids are unique in the result: the group's number in the upper, the bin in the lower half.
+    A document's pieces go to one group, ``group_pieces`` at a time.  Sequence ids are unique in the result: the group's
+    number in the upper, the bin in the lower half.
     """
     cut = stored(pieces(docs, tokenizer_path, length, end_id, id_col, text_col), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
+    part = F.floor(F.col("start") / F.lit(length * group_pieces))
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "salt", part), F.lit(groups)))
     schema = T.StructType([f for f in cut.schema.fields if f.name not in ("salt", "group")] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def fit(key: tuple, rows: pa.Table) -> pa.Table:
