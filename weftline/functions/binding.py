@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import inspect
 from collections.abc import Callable
 from typing import Any
 
 RESERVED = ("id", "storage")
+#: What is known of built-in functions without a signature.
+_ANY = inspect.Signature([inspect.Parameter("args", inspect.Parameter.VAR_POSITIONAL), inspect.Parameter("kwargs", inspect.Parameter.VAR_KEYWORD)])
 
 
 def as_calls(iterdata: Any) -> list:
@@ -29,10 +32,25 @@ def extended(element: Any, extra: Any) -> Any:
     return (*element, *extra) if isinstance(element, tuple) else (element, *extra)
 
 
+@functools.lru_cache(maxsize=256)
+def _known(function: Callable) -> inspect.Signature:
+    try:
+        return inspect.signature(function)
+    except ValueError:
+        return _ANY
+
+
+def signature(function: Callable) -> inspect.Signature:
+    try:
+        return _known(function)
+    except TypeError:  # it cannot be hashed
+        return _known.__wrapped__(function)
+
+
 def bind(function: Callable, element: Any) -> dict[str, Any]:
     """Arguments by name.  A dict must hold every parameter, defaults included, unless there is ``**kw``."""
-    signature = inspect.signature(function)
-    own = [p for p in signature.parameters.values() if p.name not in RESERVED]
+    whole = signature(function)
+    own = [p for p in whole.parameters.values() if p.name not in RESERVED]
     if isinstance(element, dict):
         loose = any(p.kind is p.VAR_KEYWORD for p in own)
         missing = {p.name for p in own if p.kind not in (p.VAR_KEYWORD, p.VAR_POSITIONAL)} - set(element)
@@ -40,23 +58,37 @@ def bind(function: Callable, element: Any) -> dict[str, Any]:
             raise ValueError(f"missing arguments: {', '.join(sorted(missing))}")
         return dict(element)
     given = element if isinstance(element, tuple) else (element,)
-    return dict(signature.replace(parameters=own).bind(*given).arguments)
-
-
-def invoke(function: Callable, bound: dict[str, Any], call_id: int) -> Any:
-    """Call with bound arguments, unpacking starred parameters and injecting ``id`` where it is declared."""
-    positional, named = [], dict(bound)
-    for p in inspect.signature(function).parameters.values():
-        if p.name == "id" and "id" not in named:
-            named["id"] = call_id
-        elif p.kind is p.VAR_POSITIONAL:
-            first = [named.pop(q) for q in list(named) if q in _before(function, p.name)]
-            positional = [*first, *named.pop(p.name, ())]
-        elif p.kind is p.VAR_KEYWORD and p.name in named:
-            named = {**named.pop(p.name), **named}
-    return function(*positional, **named)
-
-
-def _before(function: Callable, name: str) -> list[str]:
-    names = list(inspect.signature(function).parameters)
-    return names[: names.index(name)]
+    return dict(whole.replace(parameters=own).bind(*given).arguments)
+
+
+class Caller:
+    """A function that takes bound arguments: starred ones are unpacked, positional-only ones honoured, and ``id`` and ``storage`` given where they are declared."""
+
+    def __init__(self, function: Callable):
+        params = list(signature(function).parameters.values())
+        star = next((i for i, p in enumerate(params) if p.kind is p.VAR_POSITIONAL), None)
+        self.function = function
+        self.injected = [p.name for p in params if p.name in RESERVED]
+        self.first = [p.name for p in (params[:star] if star is not None else params) if star is not None or p.kind is p.POSITIONAL_ONLY]
+        self.star = params[star].name if star is not None else None
+        self.rest = next((p.name for p in params if p.kind is p.VAR_KEYWORD), None)
+        self.plain = not (self.injected or self.first or self.star or self.rest)
+
+    def __call__(self, bound: dict[str, Any], given: dict[str, Any]) -> Any:
+        if self.plain:
+            return self.function(**bound)
+        named = {**{n: given.get(n) for n in self.injected}, **bound}
+        positional = []
+        for name in self.first:
+            if name not in named:
+                break
+            positional.append(named.pop(name))
+        if self.star:
+            positional += named.pop(self.star, ())
+        if self.rest in named:
+            named = {**named.pop(self.rest), **named}
+        return self.function(*positional, **named)
+
+
+def invoke(function: Callable, bound: dict[str, Any], call_id: int, storage: Any = None) -> Any:
+    return Caller(function)(bound, {"id": call_id, "storage": storage})

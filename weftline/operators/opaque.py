@@ -11,6 +11,7 @@ import contextlib
 import io
 import os
 import pickle
+import resource
 import subprocess
 import sys
 import time
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from weftline.functions.binding import bind, invoke
+from weftline.functions.binding import Caller, bind
 
-RESULT = "call_id long, value binary, is_none boolean, exc_type string, exc_message string, exc_traceback string, exc binary, attempts int, seconds double, log string"
+RESULT = "call_id long, value binary, is_none boolean, exc_type string, exc_message string, exc_traceback string, exc binary, attempts int, seconds double, log string, cpu_seconds double, peak_kb long"
 _TYPES = {"long": T.LongType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
 _FIELDS = [T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in RESULT.split(", "))]
 
@@ -74,19 +75,35 @@ def environment(extra: dict[str, Any] | None) -> Iterator[None]:
             os.environ.pop(k) if v is None else os.environ.__setitem__(k, v)
 
 
-def _failure(e: BaseException, attempts: int, began: float, log: str = "") -> tuple:
+#: Types whose values the plain pickler writes as cloudpickle does, but faster.
+_PLAIN = frozenset({int, float, str, bytes, bool, type(None)})
+
+
+def packed(value: Any) -> bytes:
+    plain = type(value) in _PLAIN or type(value) in (tuple, list) and all(type(x) in _PLAIN for x in value)
+    return pickle.dumps(value) if plain else cloudpickle.dumps(value)
+
+
+def _usage(began: tuple[float, float]) -> tuple[float, float, int]:
+    """Wall-clock and processor seconds since ``began``, and the process's peak memory in KB."""
+    return time.time() - began[0], time.process_time() - began[1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+
+def _failure(e: BaseException, attempts: int, began: tuple[float, float], log: str = "") -> tuple:
     try:
-        packed = cloudpickle.dumps(e)
-        pickle.loads(packed)
+        carried = cloudpickle.dumps(e)
+        pickle.loads(carried)
     except Exception:
-        packed = None
-    return None, False, type(e).__name__, str(e), "".join(traceback.format_exception(e)), packed, attempts, time.time() - began, log
+        carried = None
+    seconds, cpu, peak = _usage(began)
+    return None, False, type(e).__name__, str(e), "".join(traceback.format_exception(e)), carried, attempts, seconds, log, cpu, peak
 
 
-def attempt(function: Callable | bytes, args: dict | bytes, call_id: int, retries: int, extra_env: dict | None, hooks: tuple = (None, None)) -> tuple:
+def attempt(function: Callable | bytes, args: dict | bytes, call_id: int, retries: int, extra_env: dict | None, hooks: tuple = (None, None), storage: Any = None) -> tuple:
     """The fields of a result row behind its id.  The hooks run before and after each call, failed ones included."""
     function, args = (pickle.loads(x) if isinstance(x, bytes) else x for x in (function, args))
-    attempts, began, log = 0, time.time(), io.StringIO()
+    call = function if isinstance(function, Caller) else Caller(function)
+    attempts, began, log = 0, (time.time(), time.process_time()), io.StringIO()
     while True:
         attempts += 1
         try:
@@ -94,19 +111,21 @@ def attempt(function: Callable | bytes, args: dict | bytes, call_id: int, retrie
                 if hooks[0]:
                     hooks[0]()
                 try:
-                    value = invoke(function, args, call_id)
+                    value = call(args, {"id": call_id, "storage": storage})
                 finally:
                     if hooks[1]:
                         hooks[1]()
-            return cloudpickle.dumps(value), value is None, None, None, None, None, attempts, time.time() - began, log.getvalue()
+            out = packed(value)
+            seconds, cpu, peak = _usage(began)
+            return out, value is None, None, None, None, None, attempts, seconds, log.getvalue(), cpu, peak
         except Exception as e:
             if attempts > retries:
                 return _failure(e, attempts, began, log.getvalue())
 
 
-def _limited(packed: bytes, args: bytes, call_id: int, retries: int, extra_env: dict | None, hooks: tuple, timeout: float) -> tuple:
+def _limited(packed: bytes, args: bytes, call_id: int, retries: int, extra_env: dict | None, hooks: tuple, storage: Any, timeout: float) -> tuple:
     """A call in a process of its own: over time it fails with TimeoutError, and with MemoryError if it ends without a word."""
-    began, sent = time.time(), pickle.dumps(sys.path) + cloudpickle.dumps((packed, args, call_id, retries, extra_env, hooks))
+    began, sent = (time.time(), time.process_time()), pickle.dumps(sys.path) + cloudpickle.dumps((packed, args, call_id, retries, extra_env, hooks, storage))
     try:
         done = subprocess.run([sys.executable, "-c", _CHILD], input=sent, stdout=subprocess.PIPE, timeout=timeout, check=False)
     except subprocess.TimeoutExpired:
@@ -114,23 +133,59 @@ def _limited(packed: bytes, args: bytes, call_id: int, retries: int, extra_env:
     return pickle.loads(done.stdout) if done.stdout else _failure(MemoryError("the call's process ended without a result"), 1, began)
 
 
-def apply(calls: DataFrame, function: Callable, retries: int = 0, extra_env: dict | None = None, timeout: float | None = None, hooks: tuple = (None, None), keep: list[str] | None = None) -> DataFrame:
+def apply(calls: DataFrame, function: Callable, retries: int = 0, extra_env: dict | None = None, timeout: float | None = None, hooks: tuple = (None, None), keep: list[str] | None = None, storage: Any = None) -> DataFrame:
     """Call ``function`` for each row of (call_id, args); the columns ``keep`` go along."""
     packed, kept = cloudpickle.dumps(function), keep or []
     schema = T.StructType([*_FIELDS, *(calls.schema[c] for c in kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(schema)
-        f = pickle.loads(packed)
+        f = Caller(pickle.loads(packed))
         for batch in batches:
             pairs = zip(batch.column("call_id").to_pylist(), batch.column("args").to_pylist(), strict=True)
-            rows = [(i, *(attempt(f, a, i, retries, extra_env, hooks) if timeout is None else _limited(packed, a, i, retries, extra_env, hooks, timeout))) for i, a in pairs]
+            rows = [(i, *(attempt(f, a, i, retries, extra_env, hooks, storage) if timeout is None else _limited(packed, a, i, retries, extra_env, hooks, storage, timeout))) for i, a in pairs]
             made = [pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(_FIELDS))]
             yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in kept)], names=schema.names)
 
     return calls.select("call_id", "args", *kept).mapInArrow(run, schema)
 
 
+def mapped(df: DataFrame, call_id: str, columns: dict[str, str], functions: list[Callable], kind: str, retries: int = 0) -> DataFrame:
+    """(call_id, result, attempts, exc_type, exc_message): a chain of functions on the columns of each row, in one pass and without pickling.
+
+    The first function takes the columns by parameter name, each further one the result before it; a tuple fans out to
+    its parameters.  ``kind`` is the Spark type of the last result.  A failing call is tried again ``retries`` times
+    from its first function; attempts are counted, and no call fails a task.
+    """
+    shipped = cloudpickle.dumps(functions)
+    schema = T.StructType.fromDDL(f"call_id long, result {kind}, attempts int, exc_type string, exc_message string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        first, *others = pickle.loads(shipped)
+        call, chain = Caller(first), [(f, Caller(f)) for f in others]
+        for batch in batches:
+            ids, names, rows = batch.column(0).to_pylist(), batch.schema.names[1:], []
+            for i, values in zip(ids, zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
+                args, given, attempts = dict(zip(names, values, strict=True)), {"id": i}, 0
+                while True:
+                    attempts += 1
+                    try:
+                        value = call(args, given)
+                        for f, next_call in chain:
+                            value = next_call(bind(f, value), given)
+                        rows.append((value, attempts, None, None))
+                        break
+                    except Exception as e:
+                        if attempts > retries:
+                            rows.append((None, attempts, type(e).__name__, str(e)))
+                            break
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kinds[k + 1]) for k in range(4))], names=schema.names)
+
+    chosen = df.select(F.col(call_id).cast("long").alias("call_id"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return chosen.mapInArrow(run, schema)
+
+
 def rebound(results: DataFrame, function: Callable) -> DataFrame:
     """Results as the calls of ``function``: a tuple fans out to its parameters.  Failed calls are left out."""
     packed = cloudpickle.dumps(function)

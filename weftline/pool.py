@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import pickle
+import time
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import SparkSession
 
-from weftline.engine import Engine, Handle
+from weftline.engine import CallError, Engine, Handle
 
 
 class AsyncResult:
     """A result to come; the callbacks run when it is fetched."""
 
     def __init__(self, handle: Handle, one: bool, callback: Callable | None = None, error_callback: Callable | None = None):
-        self.handle, self.one, self.callback, self.error_callback = handle, one, callback, error_callback
+        self.handle, self.one, self.callback, self.error_callback = handle.start(), one, callback, error_callback
 
-    def get(self) -> Any:
+    def get(self, timeout: float | None = None) -> Any:
         try:
-            values = [None if r["is_none"] else v for r, v in self._pairs()]
+            self.wait(timeout)
+            values = [value_of(row) for row in self.handle.rows()]
         except Exception as e:
             if self.error_callback:
                 self.error_callback(e)
@@ -28,21 +31,31 @@ class AsyncResult:
             self.callback(out)
         return out
 
-    def _pairs(self) -> Iterator[tuple]:
-        values = iter(self.handle.results())
-        for row in self.handle.rows():
-            yield row, None if row["is_none"] else next(values)
-
     def ready(self) -> bool:
-        return self.handle._rows is not None
+        return self.handle.done
 
-    def wait(self) -> None:
-        self.handle.rows()
+    def wait(self, timeout: float | None = None) -> None:
+        """Wait for all calls; TimeoutError if they take longer."""
+        self.handle.await_rows(lambda done, total, ended: ended, None if timeout is None else time.monotonic() + timeout)
 
     def successful(self) -> bool:
+        if not self.ready():
+            raise ValueError("the calls are not done")
         return all(r["exc_type"] is None for r in self.handle.rows())
 
 
+def value_of(row: Any) -> Any:
+    """A call's result, None included; a failed call raises its exception."""
+    if row["exc_type"]:
+        raise pickle.loads(row["exc"]) if row["exc"] else CallError(f"{row['exc_type']}: {row['exc_message']}")
+    return pickle.loads(row["value"])
+
+
+def cpu_count(spark: SparkSession) -> int:
+    """How many calls run at a time."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _with_initializer(function: Callable, initializer: Callable | None, initargs: tuple) -> Callable:
     """The initializer runs before every call."""
     if initializer is None:
@@ -102,6 +115,12 @@ class Pool:
         return self.starmap_async(function, iterable).get()
 
     def imap(self, function: Callable, iterable: Iterable, chunksize: int | None = None) -> Iterator:
-        return iter(self.map(function, iterable))
+        """Results in order, each as soon as it is there."""
+        handle = self.map_async(function, iterable).handle
+        for at in range(handle.total):
+            handle.await_rows(lambda done, total, ended, at=at: ended or done > at)
+            if at >= len(handle._got):
+                raise CallError("a call gave no result")
+            yield value_of(handle._got[at])  # partitions hold ascending calls and come in order
 
     imap_unordered = imap

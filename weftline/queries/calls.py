@@ -179,12 +179,19 @@ def _less_three(x: int) -> int:
 
 @query("SELECT o_orderkey, (o_orderkey + 1) * (o_custkey + 2) AS result FROM orders")
 def map_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = opaque.calls_of(table(spark, sf_dir, "orders"), "o_orderkey", {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"})
-    return opaque.typed(opaque.apply(calls, _doubled), "long").select(F.col("call_id").alias("o_orderkey"), "result")
+    out = opaque.mapped(table(spark, sf_dir, "orders"), "o_orderkey", {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}, [_doubled], "long")
+    return out.select(F.col("call_id").alias("o_orderkey"), "result")
 
 
 @query("SELECT o_orderkey, (o_orderkey + 1) * (o_custkey + 2) - 3 AS result FROM orders")
 def chain_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = opaque.mapped(table(spark, sf_dir, "orders"), "o_orderkey", {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}, [_doubled, _less_three], "long")
+    return out.select(F.col("call_id").alias("o_orderkey"), "result")
+
+
+@query("SELECT o_orderkey, (o_orderkey + 1) * (o_custkey + 2) - 3 AS result FROM orders")
+def chain_pickled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by pickled calls, whose results may be any objects."""
     calls = opaque.calls_of(table(spark, sf_dir, "orders"), "o_orderkey", {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"})
     second = opaque.rebound(opaque.apply(calls, _doubled), _less_three)
     return opaque.typed(opaque.apply(second, _less_three), "long").select(F.col("call_id").alias("o_orderkey"), "result")

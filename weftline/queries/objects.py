@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
 from weftline.functions.globs import glob_to_regex
+from weftline.operators import opaque
+from weftline.operators.external import piped
 from weftline.operators.ordered import running_before
 from weftline.plans import chunks
 from weftline.plans.text import records, word_counts, words
 from weftline.queries.registry import query, table
+from weftline.session import shared_folder
+from weftline.sources import objects
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,21 +61,17 @@ def chunk_empty_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.join(_owned(spark, sf_dir, 200), ["doc_id", "part"], "left").select("doc_id", "part", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
-_ASCII = "octet_length(text) = char_length(text)"
-
-
-@query("""SELECT doc_id, k + 1 AS part, md5(substring(text, k * 1000 + 1, 1000)) AS chunk_md5 FROM (
-  SELECT doc_id, text, unnest(range((strlen(text) + 999) // 1000)) AS k FROM documents WHERE strlen(text) = length(text))""")
+@query("""SELECT doc_id, k + 1 AS part, md5(encode(text)[k * 1000 + 1 : (k + 1) * 1000]) AS chunk_md5 FROM (
+  SELECT doc_id, text, unnest(range((strlen(text) + 999) // 1000)) AS k FROM documents)""")
 def chunk_fixed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that may cut lines, of objects without multi-byte characters."""
-    docs = table(spark, sf_dir, "documents").filter(_ASCII)
-    return chunks.fixed_chunks(docs, "doc_id", "text", 1000).select("doc_id", "part", F.md5("chunk").alias("chunk_md5"))
+    """Chunks of bytes that may cut lines and characters."""
+    return chunks.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 1000).select("doc_id", "part", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("SELECT doc_id, substring(text, 11, 40) AS body FROM documents WHERE strlen(text) = length(text)")
+@query("SELECT doc_id, hex(encode(text)[11:50]) AS body FROM documents")
 def range_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes 10 to 50, the last one left out."""
-    return table(spark, sf_dir, "documents").filter(_ASCII).select("doc_id", chunks.byte_range("text", 10, 49).cast("string").alias("body"))
+    """Bytes 10 to 49, counted from 0."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(chunks.byte_range("text", 10, 49)).alias("body"))
 
 
 _WORDS = "(SELECT source, doc_id, unnest(string_split(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' ')) AS word FROM documents) WHERE word <> ''"
@@ -145,3 +145,54 @@ def delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each payload begins when all are laid end to end."""
     return running_before(_listing(spark, sf_dir), "doc_id", F.col("size"), "start").select("doc_id", "start")
+
+
+# ---- the same over files ------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents' texts as text files by source, in a new folder; its name with "/" behind stands for all of them."""
+    folder = shared_folder(spark, "objects")
+    table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(folder)
+    return folder + "/"
+
+
+def _source(uri: str) -> Column:
+    return F.regexp_extract(uri, "/source=([^/]*)/", 1)
+
+
+@query("SELECT source, count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source")
+def object_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and bytes of stored objects by the folder that they are in."""
+    return objects.lines(spark, [_files(spark, sf_dir)]).groupBy(_source("uri").alias("source")).agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("n_bytes"))
+
+
+_OBJECT_TOTALS = "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines FROM documents GROUP BY source"
+
+
+@query(_OBJECT_TOTALS)
+def object_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of stored objects with the lines that begin in each, which together are all of an object's."""
+    folder = _files(spark, sf_dir)
+    plan = objects.plan(objects.listing(spark, [folder]), None, 4096)
+    owned = objects.lines(spark, [folder]).groupBy("uri", (F.floor(F.col("start") / 4096) + 1).cast("long").alias("part")).agg(F.count("*").alias("n"))
+    joined = plan.join(owned, ["uri", "part"], "left")
+    return joined.groupBy(_source("uri").alias("source")).agg(F.sum(F.col("range_end") - F.col("range_start")).alias("n_bytes"), F.sum(F.coalesce("n", F.lit(0))).alias("n_lines"))
+
+
+def _counted(obj: objects.ObjectChunk) -> int:
+    return sum(len(line.split()) for line in obj.data_stream)
+
+
+@query(f"SELECT source, count(*) AS n_words FROM {_WORDS} GROUP BY source")
+def object_words_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function's call for each chunk of the stored objects, and the sum for each folder."""
+    calls = objects.object_calls(spark, [_files(spark, sf_dir)], None, 1 << 20, "\n", {})
+    counts = opaque.typed(opaque.apply(calls, _counted, keep=["uri"]), "long")
+    return counts.groupBy(_source("uri").alias("source")).agg(F.sum("result").alias("n_words"))
+
+
+@query("SELECT c_custkey, translate(c_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS answer FROM customer")
+def external_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that is not Python's gets a line for each row and answers with one."""
+    return piped(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", ["tr", "a-z", "A-Z"], "answer").select("c_custkey", "answer")
