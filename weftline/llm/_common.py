@@ -71,9 +71,21 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name`` behind as many underscores as none of ``columns`` has; case does not count."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def plain_text(name: str = "text") -> Column:
     """The text column with null read as the empty text."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(quoted(name)), F.lit(""))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

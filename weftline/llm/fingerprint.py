@@ -1,14 +1,15 @@
 """Canonical exact digests of documents, with DataFrame and SQL functions only.
 
-A text's canonical form is its NFKC normalisation, lower-cased, with each run of white space made
-one space and none at the ends.  Its fingerprint is two 64-bit xxhash values under different seeds.
-Texts in one fingerprint bucket are compared byte by byte with the bucket's leader; a text that
-differs from it gets the SHA-256 of its canonical form appended, so that equal fingerprints always
-mean equal canonical texts.
-
-Nulls and edge cases: a null text is an empty one; null ids take no part in the order of documents
-(they have no next document) and count as one id in a bucket; equal rows have equal fingerprints; an
-empty table gives an empty result.
+A text's canonical form is its NFKC normalisation under Unicode case folding, with each run of white
+space made one space and none at the ends.  Its fingerprint is two 64-bit xxhash values under
+different seeds.  The canonical texts of fingerprint buckets with several documents are told apart by
+their bytes; where a bucket holds different ones, all but one of them get the SHA-256 of the canonical
+form appended, so that equal fingerprints always mean equal canonical texts.
+
+Nulls and edge cases: a null text is an empty one; a null id is an id like others and the last in the
+order; equal rows have equal fingerprints, and each row has its own row in a result; rows with equal
+ids have the same next document, the row of the next id whose text has the smallest hash; the next one
+of an only id is itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,110 +19,128 @@ from pyspark.sql import functions as F
 
 from weftline.llm._common import plain_text, stored
 
-
 #: White space besides the plain space.
 _OTHER = r"\t\n\x0B\f\r\u0085\u00a0\u2028\u2029"
+SALTS = 16
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, single spaces.  ASCII texts need no normalisation and skip that call.
+    """NFKC, folded case, single spaces.  ASCII texts need lower case only.
 
     A lone plain space is left as it is, so that most words need no replacement.
     """
-    nfkc = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(
-        F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    )
-    return F.btrim(F.regexp_replace(F.lower(nfkc), f" *[{_OTHER}][ {_OTHER}]*|  +", " "))
+    nfkc = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    folded = nfkc(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc(text), F.lit(True)))
+    plain = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(folded)
+    return F.btrim(F.regexp_replace(plain, f" *[{_OTHER}][ {_OTHER}]*|  +", " "))
 
 
 def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), canon)), 16, "0")))
 
 
-def shared(light: DataFrame) -> DataFrame:
-    """(id, wide, leader) of the rows of ``light`` (id, wide) whose bucket has several; the leader has the smallest id."""
-    buckets = light.groupBy("wide").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").drop("n")
-    return light.join(buckets, "wide")
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (id, wide and others) whose bucket has several; a large bucket is dealt by its ids to ``SALTS`` parts."""
+    crowded = rows.groupBy("wide").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = crowded.select("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(crowded, ["wide", "salt"], "left_semi").drop("salt")
 
 
-def unequal(members: DataFrame) -> DataFrame:
-    """(id, more) of members (id, wide, leader, canon) whose bytes differ from their leader's; ``more`` tells them apart.
+def collisions(texts: DataFrame) -> DataFrame:
+    """(wide, lead) of the buckets of ``texts`` (wide, canon) that hold different texts; ``lead`` is the smallest SHA-256.
 
-    The leader's text is joined to its bucket by an equi-join, which Spark can split where it is skewed.
+    Copies are compared by their bytes and counted once in the tasks that read them, so that a large group moves
+    a row for each task.
     """
-    leads = members.filter("id = leader").groupBy("wide").agg(F.min("canon").alias("lead"))
-    return members.join(leads, "wide").filter("canon <> lead").select("id", F.sha2("canon", 256).alias("more")).distinct()
+    kinds = texts.select("wide", "canon").distinct().select("wide", F.sha2("canon", 256).alias("sha"))
+    return kinds.groupBy("wide").agg(F.count("*").alias("n"), F.min("sha").alias("lead")).filter("n > 1").select("wide", "lead")
+
+
+def with_print(rows: DataFrame, collided: DataFrame, wide: str, sha: str, name: str, broadcast_rows: int = 100_000) -> DataFrame:
+    """``rows`` with the fingerprint of the text of hash ``wide`` and SHA-256 ``sha``; the few buckets with different texts are broadcast up to ``broadcast_rows``."""
+    few = collided.limit(broadcast_rows + 1).count()
+    if not few:
+        return rows.withColumn(name, F.col(wide))
+    side = collided.select(F.col("wide").alias("_bucket"), F.col("lead").alias("_lead"))
+    joined = rows.join(F.broadcast(side) if few <= broadcast_rows else side, F.col(wide) == F.col("_bucket"), "left")
+    return joined.withColumn(name, F.concat_ws("-", wide, F.when(F.col(sha) != F.col("_lead"), F.col(sha)))).drop("_bucket", "_lead")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id column and ``fingerprint`` of each row with an id; equal fingerprints are proven by comparing bytes.
+    """id column and ``fingerprint`` of each row; equal fingerprints are proven by comparing bytes.
 
     Only the texts of buckets with several documents are compared.
     """
-    canon = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), canonical(plain_text(text_col)).alias("canon"))
-    light = stored(canon.select("id", wide_hash(F.col("canon")).alias("wide")), "digests")
-    more = unequal(shared(light).join(canon, "id"))
-    return light.join(more, "id", "left").select(F.col("id").alias(id_col), F.concat_ws("-", "wide", "more").alias("fingerprint"))
+    canon = docs.select(F.col(id_col).alias("id"), canonical(plain_text(text_col)).alias("canon")).withColumn("wide", wide_hash(F.col("canon")))
+    light = stored(canon.select("id", "wide", F.sha2("canon", 256).alias("sha")), "digests")
+    several = shared(light).select("id").distinct()
+    collided = stored(collisions(canon.join(several, canon["id"].eqNullSafe(several["id"]), "left_semi")), "collisions")
+    return with_print(light, collided, "wide", "sha", "fingerprint").select(F.col("id").alias(id_col), "fingerprint")
 
 
-def next_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The columns of ``docs``, next_id, prev_id and prev_chars in ascending order of ids; the last one's next is the first.
+def next_document(ids: DataFrame) -> DataFrame:
+    """The columns of ``ids`` (id, ``most`` and more short ones; distinct ids), next_id, prev_id and prev_most in ascending order; the last one's next is the first.
 
-    ``docs`` has the ids, ``n_chars`` and perhaps more short columns.  Ids are dealt to ordered ranges; within a range a window
-    finds the neighbour, and between ranges a table with one row for each range does.
+    Ids are dealt to ordered ranges; within a range a window finds the neighbour, and between ranges a table with one
+    row for each range does.
     """
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.filter(F.col(id_col).isNotNull()).repartitionByRange(ranges, id_col).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(id_col)
-    near = dealt.withColumn("next_in", F.lead(id_col).over(w)).withColumn("prev_in", F.lag(F.struct(id_col, "n_chars")).over(w))
-    edges = dealt.groupBy("part").agg(F.min(F.struct(id_col, "n_chars")).alias("low"), F.max(F.struct(id_col, "n_chars")).alias("high"))
+    ranges = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = ids.withColumn("key", F.struct(F.col("id").isNull().alias("absent"), "id", "most"))
+    # Both uses of the ranges read one table: bounds are sampled, and need not be the same in another run.
+    dealt = stored(keyed.repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("part").orderBy("key")
+    near = dealt.withColumn("next_in", F.lead("key").over(w)).withColumn("prev_in", F.lag("key").over(w))
+    edges = dealt.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     whole = Window.orderBy("part")  # one row for each range, at most spark.sql.shuffle.partitions
     unbounded = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = edges.select(
         "part",
-        F.coalesce(F.lead("low").over(whole), F.first("low").over(unbounded))[id_col].alias("next_out"),
+        F.coalesce(F.lead("low").over(whole), F.first("low").over(unbounded)).alias("next_out"),
         F.coalesce(F.lag("high").over(whole), F.last("high").over(unbounded)).alias("prev_out"),
     )
+    after, before = F.coalesce("next_in", "next_out"), F.coalesce("prev_in", "prev_out")
     joined = near.join(F.broadcast(edges), "part")
-    before = F.coalesce("prev_in", "prev_out")
-    return joined.select(*docs.columns, F.coalesce("next_in", "next_out").alias("next_id"), before[id_col].alias("prev_id"), before["n_chars"].alias("prev_chars"))
+    return joined.select(*ids.columns, after["id"].alias("next_id"), before["id"].alias("prev_id"), before["most"].alias("prev_most"))
 
 
 def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, whose last quarter is the next document's head.
+    """Fingerprints of all rows and of their edited texts, whose last quarter is the next document's head.
 
-    Texts move twice: each to its place in the order of ids, and the heads (a quarter at most) to the
-    document before.  The canonical texts of buckets with several documents stay in the stored table
-    of digests for the comparison of bytes; an edited text is compared with its own document there.
+    Returns the id column, n_chars, edited_sha256, fingerprint, edited_fingerprint and next_fingerprint, a row for each row.
+    Texts move twice: each to the neighbours of its id, and the heads (a quarter at most) to the document before.
     """
-    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
-    # The call of the normaliser is not merged with its like, so each canonical text is a column before it is used twice.
-    canon = base.select("id", F.char_length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon"))
-    light = stored(canon.select("id", "n_chars", wide_hash(F.col("canon")).alias("wide")), "digests")
-    order = next_document(light, "id")
-    members = shared(light.select("id", "wide"))
-    full = base.join(order, "id")
-    heads = full.select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, cast(floor(prev_chars / 4) as int))").alias("head"))
-    edited = full.select("id", "text", "n_chars", "wide", "next_id").join(heads, "id").join(members.select("id", F.lit(True).alias("several")).distinct(), "id", "left")
-    kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))")
-    edited = edited.withColumn("edited", F.concat(kept, "head")).withColumn("edited_canon", canonical(F.col("edited")))
-    edited = edited.withColumn("edited_wide", wide_hash(F.col("edited_canon"))).withColumn("alike", F.col("wide") == F.col("edited_wide"))
-    # Only a text with copies, or with the hash of its edited text, is compared by its bytes.
-    edited = edited.withColumn("canon", F.when(F.col("alike") | F.col("several"), canonical(F.col("text"))))
-    same = F.col("alike") & (F.col("canon") == F.col("edited_canon"))
+    same = lambda left, right: left.eqNullSafe(right)
+    base = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
+    canon = base.select("id", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("hash"), canonical(F.col("text")).alias("canon"))
+    light = stored(canon.select("id", "n_chars", "hash", wide_hash(F.col("canon")).alias("wide")), "digests")
+    order = next_document(light.groupBy("id").agg(F.max("n_chars").alias("most"), F.min("hash").alias("lead")))
+    several = shared(light.select("id", "wide")).select("id").distinct()
+    several = several.select(F.col("id").alias("crowd_id"), F.lit(True).alias("crowd"))
+    order = order.join(several, same(F.col("id"), F.col("crowd_id")), "left").withColumn("several", F.coalesce("crowd", F.lit(False))).drop("crowd_id", "crowd")
+    order = stored(order, "order").withColumnRenamed("id", "own_id")
+    full = base.join(order, same(F.col("id"), F.col("own_id"))).drop("own_id")
+    # No filter, which would become a key of the join and keep its shuffle of texts from being used twice.
+    head = F.when(F.xxhash64("text") == F.col("lead"), F.expr("substring(text, 1, cast(floor(prev_most / 4) as int))"))
+    heads = full.select(F.col("prev_id").alias("head_id"), head.alias("head")).groupBy("head_id").agg(F.min("head").alias("head"))
+    edited = full.join(heads, same(F.col("id"), F.col("head_id"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    quarter = "cast(floor(n_chars / 4) as int)"
+    edited = edited.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {quarter}), substring(head, 1, {quarter}))"))
+    edited = edited.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
+    equal = F.col("canon") == F.col("edited_canon")
     digests = stored(
         edited.select(
-            "id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), same.alias("same"), "edited_wide",
-            F.when(F.col("alike") & ~same, F.sha2("edited_canon", 256)).alias("edited_more"), F.when(F.col("several"), F.col("canon")).alias("canon"),
+            "id", "n_chars", "next_id", (F.xxhash64("text") == F.col("lead")).alias("leads"), F.sha2("edited", 256).alias("edited_sha256"), equal.alias("equal"),
+            wide_hash(F.col("canon")).alias("wide"), F.sha2("canon", 256).alias("sha"), wide_hash(F.col("edited_canon")).alias("edited_wide"),
+            F.sha2("edited_canon", 256).alias("edited_sha"), F.when(F.col("several"), F.col("canon")).alias("canon"),
         ),
         "edited",
     )
-    more = unequal(members.join(digests.select("id", "canon"), "id"))
-    prints = light.select("id", "wide").join(more, "id", "left").select("id", F.concat_ws("-", "wide", "more").alias("fingerprint"))
-    after = prints.select(F.col("id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    out = digests.drop("canon").join(prints, "id").join(after, "next_id")
-    return out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint",
-        F.when(F.col("same"), F.col("fingerprint")).otherwise(F.concat_ws("-", "edited_wide", "edited_more")).alias("edited_fingerprint"), "next_fingerprint",
-    )
+    collided = stored(collisions(digests.filter("canon is not null")), "collisions")
+    out = with_print(digests.drop("canon"), collided, "wide", "sha", "fingerprint")
+    out = with_print(out, collided, "edited_wide", "edited_sha", "edited_print")
+    # An edited text of another canonical form than its document has another fingerprint, whatever their hashes.
+    other = F.when(F.col("edited_print") == F.col("fingerprint"), F.concat_ws("-", "edited_wide", "edited_sha")).otherwise(F.col("edited_print"))
+    out = out.withColumn("edited_fingerprint", F.when(F.col("equal"), F.col("fingerprint")).otherwise(other))
+    after = out.filter("leads").groupBy(F.col("id").alias("after_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    joined = out.join(after, same(F.col("next_id"), F.col("after_id")))
+    return joined.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
