@@ -26,3 +26,15 @@ def active_calls(calls: DataFrame, start: str, end: str, width: int) -> DataFram
     w = Window.orderBy("bin")
     runs = changes.select("bin", F.lead("bin").over(w).alias("until"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("active")).filter("until is not null")
     return runs.select(F.explode(F.sequence(F.col("bin"), F.col("until") - width, F.lit(width).cast("long"))).alias("bin"), "active")
+
+
+def timeline(calls: DataFrame, call_id: str, milestones: dict[str, str], origin: str) -> DataFrame:
+    """(call id, milestone, since): the milestones of each call, since the least value of the column ``origin``."""
+    first = calls.agg(F.min(origin).alias("_first"))  # one row
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("milestone"), F.col(column).alias("at")) for name, column in milestones.items()])).alias("m")
+    return calls.select(call_id, each).join(F.broadcast(first)).select(call_id, "m.milestone", (F.col("m.at") - F.col("_first")).alias("since"))
+
+
+def export(statistics: DataFrame, path: str) -> None:
+    """Statistics as lines of JSON."""
+    statistics.write.json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import stats
 from weftline.queries.registry import query, table
+from weftline.session import shared_folder
 from weftline.streaming import state
 
 
@@ -34,6 +35,27 @@ def timeline_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(F.broadcast(first)).select("event_id", (F.col("us") - F.col("first")).alias("since_start"))
 
 
+@query("""WITH calls AS (SELECT event_id, epoch_us(ts) AS submitted, epoch_us(ts) + 1000 * (event_id % 7) AS started, epoch_us(ts) + 1000 * (event_id % 7) + 1000000 * CAST(floor(abs(value)) AS BIGINT) AS ended FROM events)
+SELECT event_id, milestone, moment - (SELECT min(submitted) FROM calls) AS since FROM (UNPIVOT calls ON submitted, started, ended INTO NAME milestone VALUE moment)""")
+def timeline_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each call was submitted, started and ended, since the first was submitted."""
+    us = "unix_micros(cast(ts as timestamp))"
+    calls = table(spark, sf_dir, "events").selectExpr("event_id", f"{us} AS submitted", f"{us} + 1000 * (event_id % 7) AS started", f"{us} + 1000 * (event_id % 7) + 1000000 * cast(floor(abs(value)) as bigint) AS ended")
+    return stats.timeline(calls, "event_id", {x: x for x in ("submitted", "started", "ended")}, "submitted")
+
+
+@query("SELECT event_type, CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour, counted by a stream that reads all that is there and then ends."""
+    folder = shared_folder(spark, "stream")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    hours = events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
+    state.drain_to(hours, f"{folder}/out", f"{folder}/checkpoint")
+    done = spark.read.option("recursiveFileLookup", "true").schema(hours.schema).parquet(f"{folder}/out").withColumn("batch", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    last = done.agg(F.max("batch").alias("last"))
+    return done.join(F.broadcast(last), F.col("batch") == F.col("last")).select("event_type", "hour", "n")
+
+
 @query("""WITH calls AS (SELECT epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + CAST(floor(value) AS BIGINT) * 60 AS e FROM events WHERE value >= 1),
 bins AS (SELECT unnest(generate_series((SELECT (min(s) + 3599) // 3600 * 3600 FROM calls), (SELECT (max(e) + 3599) // 3600 * 3600 - 3600 FROM calls), 3600)) AS bin)
 SELECT bin, count(s) AS active FROM bins LEFT JOIN calls ON s <= bin AND bin < e GROUP BY bin""")
