@@ -1,23 +1,28 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds what they miss.
 
-The patterns' spans always stay.  The model reads windows of ``WINDOW`` characters at every
-``STRIDE``; windows without a digit and without "@" cannot hold a span of its kinds (each must contain
-one or the other) and are not decoded.  Where windows overlap, each character takes the label of the
-window in whose middle it lies best; runs of a label across all windows of the text are its spans.
-A span is added if its kind's plain conditions hold and it touches no pattern's span.
-
-The network is trained in numpy on generated, labelled windows: four kinds of data in common and
-uncommon spellings among words, numbers, dates and hexadecimal strings.
+The patterns' spans always stay.  The model reads windows of ``WINDOW`` characters at every ``STRIDE``.
+A window without a digit and without "@" whose neighbours have none either is taken to hold no span: a
+span has one or the other, and no character of it farther from one than that is looked for.  Where
+windows overlap, each character takes the label of the window in whose middle it lies best; runs of a
+label across all windows of the text are its spans.  A span is added if its kind's plain conditions hold
+and it touches no pattern's span.
+
+The network is trained in numpy from labelled spans: windows of the corpus around the patterns' spans, of
+which a bounded number is taken by a hash, the same windows with the span written otherwise (dots and
+signs in words or brackets, other separators, no plus sign), and generated windows of numbers, dates and
+hexadecimal strings.
 
 Nulls and edge cases: a null text is empty and has no spans; ids are carried along, nulls too; equal rows
-give equal results; an empty table gives an empty result.
+give equal results; of two labels that are equally likely the first wins; a corpus without spans, an
+empty one too, gives a network of generated windows, and an empty table gives an empty result; columns
+besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,7 +101,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiLstmCrf:
     """Two LSTMs over characters, a linear layer, and CRF transitions between labels."""
 
-    def __init__(self, hidden: int = 12, labels: int = 5, seed: int = 3):
+    def __init__(self, hidden: int = 16, labels: int = 5, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.h, self.k = hidden, labels
         draw = lambda *s: rng.normal(0, 0.3, s)
@@ -162,7 +167,7 @@ class BiLstmCrf:
             grads |= {f"u{d}": du, f"e{d}": dx}
         return {k: v / len(x) for k, v in grads.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 50, rate: float = 0.02, seed: int = 5) -> BiLstmCrf:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 5) -> BiLstmCrf:
         rng, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for _ in range(epochs):
@@ -215,47 +220,106 @@ def _example(rng: random.Random) -> tuple[str, list[int]]:
     return text[at : at + WINDOW], labels[at : at + WINDOW]
 
 
-@functools.cache
-def trained_model(examples: int = 700, seed: int = 11) -> BiLstmCrf:
-    rng = random.Random(seed)
-    made = [_example(rng) for _ in range(examples)]
-    return BiLstmCrf().fit(np.stack([encode(t, WINDOW) for t, _ in made]), np.array([y for _, y in made]))
+def disguised(rng: random.Random, kind: int, span: str) -> str:
+    """A span of the patterns written in a way that they do not find."""
+    digits = _NOT_DIGIT.sub("", span)
+    if kind == 0:
+        name, domain = span.split("@", 1)
+        return name + rng.choice([" @ ", "(@)", "[@]", "@"]) + domain.replace(".", rng.choice([" dot ", "[.]", "(dot)", "[dot]"]))
+    if kind == 1:
+        return span.replace(".", rng.choice(["[.]", " . ", "(.)"]))
+    if kind == 2:
+        return rng.choice([".", "  ", "/", "_", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    a, b, c, d = digits[:-10] or "1", digits[-10:-7], digits[-7:-4], digits[-4:]
+    return rng.choice([f"({b}) {c}-{d}", f"{b}-{c}-{d}", f"00{a} {b} {c} {d}", f"{b}.{c}.{d}", f"({b}) {c} {d}"])
+
+
+def _corpus_windows(docs: DataFrame, text_col: str, max_windows: int) -> list[tuple[str, str]]:
+    """(text, labels) of at most ``max_windows`` windows around spans of the patterns, those of the smallest hashes; labels are digits."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts, labels = [], []
+            for text in part.column(0).to_pylist():
+                spans = pattern_spans(text) if _TRIGGER.search(text) else []
+                for start, end, _ in spans:
+                    at = max(0, start - zlib.crc32(text[start:end].encode("utf-8", "replace")) % max(1, WINDOW - (end - start)))
+                    marks = ["0"] * min(WINDOW, len(text) - at)
+                    for s, e, k in spans:
+                        for i in range(max(s, at), min(e, at + len(marks))):
+                            if marks[i - at] == "0":
+                                marks[i - at] = str(1 + k)
+                    texts.append(text[at : at + WINDOW])
+                    labels.append("".join(marks))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(labels, pa.string())], names=["text", "labels"])
+
+    found = docs.select(plain_text(text_col).alias("text")).mapInArrow(cut, "text string, labels string").distinct()
+    return [tuple(r) for r in found.orderBy(F.xxhash64("text", "labels"), "text", "labels").limit(max_windows).collect()]
+
+
+def fit(docs: DataFrame, max_windows: int = 1200, generated: int = 1200, seed: int = 11, text_col: str = "text") -> BiLstmCrf:
+    """Train on at most ``max_windows`` windows of ``docs`` (the rows brought to the driver), each also with its spans disguised, and on generated ones."""
+    rng, made = random.Random(seed), []
+    for text, labels in _corpus_windows(docs, text_col, max_windows):
+        made.append((text, [int(y) for y in labels]))
+        other, marks, at = "", [], 0
+        for m in re.finditer(r"([1-4])\1*", labels):
+            kind = int(m[1]) - 1
+            span = text[m.start() : m.end()]
+            whole = any((s, e, k) == (0, len(span), kind) for s, e, k in pattern_spans(span))
+            shown = disguised(rng, kind, span) if whole and rng.random() < 0.8 else span
+            other += text[at : m.start()] + shown
+            marks += [0] * (m.start() - at) + [1 + kind] * len(shown)
+            at = m.end()
+        other, marks = other + text[at:], marks + [0] * (len(text) - at)
+        first = next((i for i, y in enumerate(marks) if y), 0)
+        at = max(0, min(first - rng.randint(0, 15), len(other) - WINDOW))
+        made.append((other[at : at + WINDOW], marks[at : at + WINDOW]))
+    made += [_example(rng) for _ in range(generated)]
+    y = np.zeros((len(made), WINDOW), np.int64)
+    for i, (_, labels) in enumerate(made):
+        y[i, : len(labels)] = labels
+    return BiLstmCrf().fit(np.stack([encode(t, WINDOW) for t, _ in made]), y)
 
 
 def _plausible(kind: int, text: str) -> bool:
     digits = _NOT_DIGIT.sub("", text)
     if kind == 0:
-        return "@" in text and ("." in text or " dot " in text) and 6 <= len(text) <= 80
+        return "@" in text.strip("@") and ("." in text or "dot" in text) and 6 <= len(text) <= 254
     if kind == 1:
         parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(int(x) < 256 for x in parts if len(x) < 4) and max(map(len, parts)) < 4
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 12 and len(digits) < len(text) <= 22
+        return len(parts) == 4 and all(len(x) < 4 and int(x) < 256 for x in parts)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15 and len(digits) < len(text) <= 2 * len(digits)
+
+
+def _read_windows(text: str, gate: bool) -> list[int]:
+    """Numbers of the windows to decode: with ``gate``, those with a digit or "@" and their neighbours."""
+    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    if not gate:
+        return list(range(last + 1))
+    own = {min(last, w) for m in _TRIGGER.finditer(text) for w in range(max(0, (m.start() - WINDOW) // STRIDE + 1), m.start() // STRIDE + 1)}
+    return sorted({v for w in own for v in (w - 1, w, w + 1) if 0 <= v <= last})
 
 
-def model_spans(texts: list[str], model: BiLstmCrf, batch: int = 256) -> list[list[tuple[int, int, int]]]:
+def model_spans(texts: list[str], model: BiLstmCrf, batch: int = 256, gate: bool = True) -> list[list[tuple[int, int, int]]]:
     """Spans that the network finds in each text, from windows decoded together and reconciled per text."""
-    windows = []
-    for n, text in enumerate(texts):
-        starts = sorted({w * STRIDE for m in _TRIGGER.finditer(text) for w in range(max(0, (m.start() - WINDOW) // STRIDE + 1), m.start() // STRIDE + 1)})
-        windows += [(n, s) for s in starts]
-    found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    windows = [(n, w) for n, text in enumerate(texts) for w in _read_windows(text, gate)]
+    labels: list[dict[int, int]] = [{} for _ in texts]
     for at in range(0, len(windows), batch):
         part = windows[at : at + batch]
-        labels = model.decode(np.stack([encode(texts[n][s : s + WINDOW], WINDOW) for n, s in part]))
-        for (n, s), row in zip(part, labels, strict=True):
-            for i in np.flatnonzero(row).tolist() if row.any() else ():
-                if s + i < len(texts[n]):
-                    found[n].setdefault(s + i, (-1, 0))
-            for i in range(min(WINDOW, len(texts[n]) - s)):
-                margin = min(i, WINDOW - 1 - i)
-                held = found[n].get(s + i)
-                if held is None or margin > held[0]:
-                    found[n][s + i] = (margin, int(row[i]))
+        decoded = model.decode(np.stack([encode(texts[n][w * STRIDE : w * STRIDE + WINDOW], WINDOW) for n, w in part]))
+        for (n, w), row in zip(part, decoded, strict=True):
+            # Each character belongs to the window in whose middle it lies; the outer ones to the first and the last window.
+            begin = 0 if w == 0 else (WINDOW - STRIDE) // 2
+            end = WINDOW if (w + 1) * STRIDE + (WINDOW - STRIDE) >= len(texts[n]) + STRIDE else (WINDOW + STRIDE) // 2
+            for i in (np.flatnonzero(row[begin:end]) + begin).tolist():
+                if w * STRIDE + i < len(texts[n]):
+                    labels[n][w * STRIDE + i] = int(row[i])
     out = []
-    for text, labels in zip(texts, found, strict=True):
+    for text, held in zip(texts, labels, strict=True):
         spans, start, last, kind = [], None, None, 0
-        for i in [*sorted(i for i, (_, y) in labels.items() if y), None]:
-            y = labels[i][1] if i is not None else 0
+        for i in [*sorted(held), None]:
+            y = held[i] if i is not None else 0
             if start is not None and (i is None or i != last + 1 or y != kind):
                 while start <= last and text[last].isspace():
                     last -= 1
@@ -287,8 +351,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, model: BiLstmCrf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, number of pattern spans of each kind, ``base_spans`` and ``spans`` as kind:start:end lists."""
-    fitted = model or trained_model()
+    """doc_id, number of pattern spans of each kind, ``base_spans`` and ``spans`` as kind:start:end lists; without a model, one is fitted on ``docs``."""
+    fitted = model or fit(docs, text_col=text_col)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
