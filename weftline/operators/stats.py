@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICE = 0.000017
@@ -35,6 +35,19 @@ def timeline(calls: DataFrame, call_id: str, milestones: dict[str, str], origin:
     return calls.select(call_id, each).join(F.broadcast(first)).select(call_id, "m.milestone", (F.col("m.at") - F.col("_first")).alias("since"))
 
 
+def overdue(calls: DataFrame, start: str, done: Column, now: Column, timeout: float, slack: float = 5) -> DataFrame:
+    """The calls that are not done though their time limit passed more than ``slack`` seconds ago; ``start`` and ``now`` in microseconds."""
+    return calls.filter(~done & (now > F.col(start) + F.lit(int((timeout + slack) * 1_000_000))))
+
+
+def job_status(listing: DataFrame, key: str) -> DataFrame:
+    """(job, running, done) from keys ``executor/job/call/kind``: calls with an ``init`` key but no ``status`` key run, those with one are done."""
+    parts = F.split(key, "/")
+    calls = listing.select(F.concat_ws("/", parts[0], parts[1]).alias("job"), parts[2].alias("call"), parts[3].alias("kind"))
+    each = calls.groupBy("job", "call").agg(F.bool_or(F.col("kind") == "status").alias("ended"))
+    return each.groupBy("job").agg(F.count_if(~F.col("ended")).alias("running"), F.count_if("ended").alias("done"))
+
+
 def export(statistics: DataFrame, path: str) -> None:
     """Statistics as lines of JSON."""
     statistics.write.json(path)

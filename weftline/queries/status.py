@@ -44,6 +44,23 @@ def timeline_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.timeline(calls, "event_id", {x: x for x in ("submitted", "started", "ended")}, "submitted")
 
 
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND epoch_us(ts) + 3605000000 < (SELECT max(epoch_us(ts)) FROM events)")
+def overdue_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls without a result whose limit of an hour has passed when the last call is submitted."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
+    now = events.agg(F.max("us").alias("now"))  # one row
+    return stats.overdue(events.join(F.broadcast(now)), "us", F.col("event_type") != "error", F.col("now"), 3600).select("event_id")
+
+
+@query("""SELECT 'e/' || user_id AS job, count(*) FILTER (WHERE event_type = 'error') AS running, count(*) FILTER (WHERE event_type <> 'error') AS done FROM events GROUP BY user_id""")
+def job_status_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running and done calls of each job, from a listing of the keys that they left."""
+    kinds = F.when(F.col("event_type") == "error", F.array(F.lit("init"))).otherwise(F.array(F.lit("init"), F.lit("status")))
+    each = table(spark, sf_dir, "events").select("user_id", "event_id", F.explode(kinds).alias("kind"))
+    keys = each.select(F.concat_ws("/", F.lit("e"), "user_id", "event_id", "kind").alias("key"))
+    return stats.job_status(keys, "key")
+
+
 @query("SELECT event_type, CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour, counted by a stream that reads all that is there and then ends."""
