@@ -7,8 +7,9 @@ a sample row's features is learned from the other half of the sample.  Scoring c
 all rows, in the tasks that read them; labels, language, source and id are no inputs of a score.
 
 Nulls and edge cases: a null or empty text gets the score of an empty text; a null label is not
-learned from; without rows of both labels the score is 0 for all; equal texts have equal scores; an
-empty table gives an empty result; all columns of the input are kept.
+learned from; without rows of both labels the score is 0 for all; equal texts have equal scores; where
+labels of one id differ it is toxic; of equally good splits the first feature and the lowest bin win; an
+empty table gives an empty result; all columns of the input are kept, but for one that has the score's name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import byte_texts, fold, plain_text, slices, with_column
+from weftline.llm._common import byte_texts, fold, fresh, plain_text, slices, with_column
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = b"!?"
@@ -70,12 +71,13 @@ def features(text: bytes, weights: _Weights) -> list[float]:
     n, size = max(1, len(words)), max(1, len(text))
     w = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
     at = np.flatnonzero(w)
-    you = [i for i, x in enumerate(words) if x in SECOND_PERSON] if len(at) else []
-    near = sum(bool(np.abs(at - i).min() <= NEAR) for i in you)
+    you = np.flatnonzero(np.fromiter(map(SECOND_PERSON.__contains__, words), bool, len(words)))
+    before, after = np.concatenate([[-np.inf], at, [np.inf]])[np.searchsorted(at, you) + np.array([[0], [1]])]
+    near = int((np.minimum(you - before, after - you) <= NEAR).sum())
     masked = [m.translate(_UNMASK).replace(b"*", b"") for m in _MASKED.findall(text.lower())]
     count = lambda some: size - len(text.translate(None, some)) - (size - len(text))
     return [
-        np.log1p(len(words)), min(len(at), 20), len(at) / n, w.sum() / n, w.max(initial=0), len({words[i] for i in at[:200]}), near, len(you) / n,
+        np.log1p(len(words)), np.log1p(len(at)), len(at) / n, w.sum() / n, w.max(initial=0), len({words[i] for i in at}), near, len(you) / n,
         count(UPPER) / size, count(MARKS) / size, count(SYMBOLS) / size, len(masked) / n, sum(weights[m] > 0 for m in masked), len(text) / n if len(words) else 0.0,
     ]
 
@@ -193,16 +195,19 @@ def _lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, at_leas
     return dict(sorted(out.items(), key=lambda x: (-x[1] * np.log1p(toxic[x[0]]), x[0]))[:most])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: str | None = None, max_labelled: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train: str | None = None, max_labelled: int = 8000, max_units: int = 50_000, max_lexicon: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on at most ``max_labelled`` labelled rows for which the SQL condition ``train`` (over the id) holds.
 
-    What comes back to the driver is bounded by the sample: counts of units that occur in toxic rows,
-    at most ``max_units`` for each half, and a row of features for each document.
+    What comes back to the driver is bounded: the counts of the ``max_units`` units that most toxic rows
+    of the sample have (ties by the unit), and a row of features for each document of the sample.  The
+    lexicon takes the ``max_lexicon`` strongest of those units.
     """
     known = labels.filter(f"{label_col} is not null and {id_col} is not null")
     known = (known.filter(train) if train else known).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "label", (F.crc32(F.concat(F.lit("half"), F.col("id").cast("string")).cast("binary")) % 2).cast("int").alias("half"), (F.crc32(F.concat(F.lit("fit"), F.col("id").cast("string")).cast("binary")) % 4 == 0).alias("calibrates"))
+    part = lambda name, n: F.crc32(F.concat(F.lit(name), F.col("id").cast("string")).cast("binary")) % n
+    joined = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = joined.select("text", "label", part("half", 2).cast("int").alias("half"), (part("fit", 4) == 0).alias("calibrates"))
 
     sizes = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = (sum(n for (_, label), n in sizes.items() if bool(label) == side) for side in (True, False))
@@ -225,14 +230,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: str | None = None, max_labell
         found = rows.filter(F.col("label").cast("boolean") == label).mapInArrow(counts(only), "half int, unit binary, n long").groupBy("half", "unit").agg(F.sum("n").alias("n"))
         by_unit = found.groupBy("unit").agg(F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("half") == 1, F.col("n")).otherwise(0)).alias("n1"))
         out = {0: Counter(), 1: Counter()}
-        for r in (by_unit.filter("n0 >= 2 or n1 >= 2").orderBy(F.desc(F.col("n0") + F.col("n1")), "unit").limit(50_000) if only is None else by_unit).collect():
+        for r in (by_unit.filter("n0 >= 2 or n1 >= 2").orderBy(F.desc(F.col("n0") + F.col("n1")), "unit").limit(max_units) if only is None else by_unit).collect():
             out[0][bytes(r["unit"])], out[1][bytes(r["unit"])] = r["n0"], r["n1"]
         return out
 
     toxic = gathered(True, None)
     clean = gathered(False, frozenset(toxic[0]) | frozenset(toxic[1]))
-    other = [_lexicon(toxic[1 - h], clean[1 - h], sizes.get((1 - h, 1), 0), sizes.get((1 - h, 0), 0), at_least=2) for h in (0, 1)]
-    full = _lexicon(toxic[0] + toxic[1], clean[0] + clean[1], n_toxic, n_clean)
+    other = [_lexicon(toxic[1 - h], clean[1 - h], sizes.get((1 - h, 1), 0), sizes.get((1 - h, 0), 0), at_least=2, most=max_lexicon) for h in (0, 1)]
+    full = _lexicon(toxic[0] + toxic[1], clean[0] + clean[1], n_toxic, n_clean, most=max_lexicon)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [_Weights(x) for x in other]
@@ -252,9 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: str | None = None, max_labell
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5, **options) -> DataFrame:
     """``docs`` without the rows that score ``at`` or more; labels of all rows may be learned from."""
-    name = "_toxicity"
+    name = fresh("toxicity", docs.columns)
     return fit(docs, labels, **options).apply(docs, name=name).filter(F.col(name) < at).drop(name)
 
 
 def held_out(id_col: str = "doc_id"):
-    return fold(id_col, 5) == 0
+    """Whether labels of the row are never learned from; true for a null id."""
+    return F.coalesce(fold(id_col, 5) == 0, F.lit(True))
