@@ -1,9 +1,11 @@
 """Licence scans with DataFrame and SQL functions only.
 
-A paragraph (a line with a word) becomes its words of ``[a-z0-9.+-]``, lower-cased.  A sparse logistic
-regression over word n-grams (one to three words) gives each licence family, and an *unknown* class,
+A paragraph is a line with a word, or lines that were one before they were wrapped: each but the last
+has at most 100 characters, and none is blank.  It becomes its words of ``[a-z0-9.+-]``, lower-cased.  A sparse
+logistic regression over word n-grams (one to three words) gives each licence family, and an *unknown* class,
 a probability; a family counts if it is the likeliest, beats ``least_probability`` and a template of it
-confirms: a share ``least_overlap`` of the template's words occurs in the paragraph.
+confirms: a share ``least_overlap`` of the template's words occurs in the paragraph.  A family that a wrapped
+paragraph shows is left out where one of its lines shows it.
 
 Every n-gram of the model holds one of its anchor words, so that a paragraph without any anchor has no
 feature and is certainly unknown; such paragraphs are set aside by one regular expression inside the
@@ -11,11 +13,13 @@ scan.  The rest are exploded to n-grams, which meet the weights (a fixed table m
 templates) in a broadcast join and are summed for each paragraph.
 
 The weights are trained in numpy from the templates with words dropped and surrounded by filler, and
-from unknown paragraphs that use the same words loosely; the unknown class's offset is then raised
-until at most one in a hundred held-out unknown paragraphs would be reported.
+from unknown paragraphs that use the same words loosely.  On held-out paragraphs the unknown class's offset
+is then raised until at most one in a hundred unknown ones would be reported, and all weights are divided by
+the temperature at which the probabilities' log loss is least.
 
 Nulls and edge cases: a null or empty text has no paragraph; rows with a null id are scanned as one
-document with a null id, and so are rows with equal ids; an empty table gives an empty result.
+document with a null id, and so are rows with equal ids; of equally likely families the last by name counts;
+an empty table gives an empty result; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -28,18 +32,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import plain_text
+from weftline.llm._common import plain_text, quoted
 
 #: Short public notices by family (fixed values).
 TEMPLATES = {
-    "apache": ("licensed under the apache license, version 2.0", "released under the apache license 2.0", "you may not use this file except in compliance with the apache license version 2.0"),
-    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted, free of charge, to any person obtaining a copy of this software mit license"),
-    "bsd": ("licensed under the bsd 3-clause license", "released under the bsd license", "redistribution and use in source and binary forms, with or without modification, are permitted"),
-    "gpl": ("this work is licensed under the gnu general public license, version 3", "licensed under the gnu gpl v2 or later", "free software: you can redistribute it and/or modify it under the terms of the gnu general public license"),
-    "lgpl": ("licensed under the gnu lesser general public license", "released under the lgpl version 2.1"),
-    "agpl": ("licensed under the gnu affero general public license version 3", "released under the agpl v3"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license, v. 2.0", "licensed under the mozilla public license mpl 2.0"),
-    "cc": ("licensed under cc by-nc 4.0", "licensed under cc by-sa 4.0", "licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
+    "apache": ("licensed under the apache license, version 2.0", "released under the apache license 2.0", "you may not use this file except in compliance with the apache license version 2.0", "spdx-license-identifier: apache-2.0"),
+    "mit": ("released under the mit license", "licensed under the mit license", "mit license", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "spdx-license-identifier: mit"),
+    "bsd": ("licensed under the bsd 3-clause license", "released under the bsd license", "redistribution and use in source and binary forms, with or without modification, are permitted", "spdx-license-identifier: bsd-3-clause", "spdx-license-identifier: bsd-2-clause"),
+    "gpl": ("this work is licensed under the gnu general public license, version 3", "licensed under the gnu gpl v2 or later", "free software: you can redistribute it and/or modify it under the terms of the gnu general public license", "spdx-license-identifier: gpl-3.0-or-later", "spdx-license-identifier: gpl-2.0-only"),
+    "lgpl": ("licensed under the gnu lesser general public license", "released under the lgpl version 2.1", "spdx-license-identifier: lgpl-2.1-or-later"),
+    "agpl": ("licensed under the gnu affero general public license version 3", "released under the agpl v3", "spdx-license-identifier: agpl-3.0-or-later"),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license, v. 2.0", "licensed under the mozilla public license mpl 2.0", "spdx-license-identifier: mpl-2.0"),
+    "cc": ("licensed under cc by-nc 4.0", "licensed under cc by-sa 4.0", "licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "spdx-license-identifier: cc-by-4.0"),
     "proprietary": ("all rights reserved", "copyright all rights reserved do not distribute", "no part of this publication may be reproduced without permission"),
 }
 UNKNOWN = "unknown"
@@ -83,34 +87,56 @@ def trained_weights(copies: int = 60, seed: int = 7, rounds: int = 300) -> dict[
     y = np.eye(len(FAMILIES))[[k for _, k in examples]]
     cut, theta, speed = len(x) * 3 // 4, np.zeros((x.shape[1], len(FAMILIES))), np.zeros((x.shape[1], len(FAMILIES)))
     for _ in range(rounds):
-        z = x[:cut] @ theta
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        p = _softmax(x[:cut] @ theta)
         speed = 0.9 * speed + x[:cut].T @ (y[:cut] - p) / cut - 1e-4 * theta
         theta += 2.0 * speed
     held = x[cut:][y[cut:, -1] == 1]
     while len(held) and (np.argmax(held @ theta, axis=1) != len(FAMILIES) - 1).mean() > 0.01:
         theta[-1, -1] += 0.1
+    loss = lambda t: -np.log(np.maximum(_softmax(x[cut:] @ theta / t)[y[cut:] == 1], 1e-12)).mean()
+    theta = theta / min(np.geomspace(0.25, 4, 33), key=loss)
     return {g: tuple(float(round(v, 4)) for v in theta[i]) for g, i in [*index.items(), ("", len(index))]}
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def _weights(spark) -> DataFrame:
     rows = [f"('{g}', array({', '.join(f'{v}D' for v in w)}))" for g, w in trained_weights().items() if g]
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(gram, w)")
 
 
+#: A line break inside a wrapped paragraph: behind a line of at most 100 characters with a word, before another with a word.
+_WRAP = r"\n(?<=(?:^|\n)[^\n]{1,100}\n)(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, words) of the paragraphs with an anchor word; ``at`` is the line's number from 0."""
+    """(doc_id, at, last, words) of the paragraphs with an anchor word; ``at`` and ``last`` are line numbers from 0.
+
+    Each line is one, and so are wrapped lines together, which share their first and differ in their last line.
+    """
     pattern = "(?i)(?<![a-z0-9.+-])(" + "|".join(re.escape(a).replace("'", "") for a in anchors()) + r")(?![a-z0-9+-]|\.[a-z0-9.+-])"
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(plain_text(text_col), "\n", -1).alias("lines")).filter(F.exists("lines", lambda p: F.rlike(p, F.lit(pattern))))
-    each = lines.select("doc_id", F.posexplode("lines").alias("at", "line")).filter(F.rlike("line", F.lit(pattern)))
-    return each.select("doc_id", "at", F.expr(r"transform(regexp_extract_all(lower(line), '[a-z0-9.+-]+', 0), w -> coalesce(nullif(rtrim('.', w), ''), '.'))").alias("words"))
+    texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), plain_text(text_col).alias("text"))
+    lines = texts.withColumn("lines", F.split("text", "\n", -1)).filter(F.exists("lines", lambda p: F.rlike(p, F.lit(pattern))))
+    single = F.transform("lines", lambda line, at: F.struct(at.alias("at"), at.alias("last"), line.alias("text")))
+    # Wrapped lines stay together by another sign than a line break; the breaks before a paragraph count its place.
+    joined = F.split(F.regexp_replace("text", _WRAP, "\x01"), "\n", -1)
+    breaks = lambda x: F.char_length(x) - F.char_length(F.translate(x, "\x01", ""))
+    placed = F.aggregate(
+        joined, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,last:int,text:string>>").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + breaks(x) + 1).alias("at"), F.when(breaks(x) > 0, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), (acc["at"] + breaks(x)).alias("last"), x.alias("text"))))).otherwise(acc["out"]).alias("out")),
+    )["out"]
+    each = lines.select("doc_id", F.explode(F.concat(single, placed)).alias("p")).filter(F.rlike("p.text", F.lit(pattern)))
+    words = F.expr(r"transform(regexp_extract_all(lower(p.text), '[a-z0-9.+-]+', 0), w -> coalesce(nullif(rtrim('.', w), ''), '.'))")
+    return each.select("doc_id", "p.at", "p.last", words.alias("words"))
 
 
 def classify(docs: DataFrame, least_probability: float = 0.5, least_overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, family, probability, overlap, confirmed) of each paragraph with an anchor word."""
+    """(doc_id, at, last, family, probability, overlap, confirmed) of each paragraph with an anchor word."""
     spark, model = docs.sparkSession, trained_weights()
-    found = paragraphs(docs, id_col, text_col).withColumn("row", F.struct("doc_id", "at", "words"))
+    found = paragraphs(docs, id_col, text_col).withColumn("row", F.struct("doc_id", "at", "last", "words"))
     every = "array_distinct(flatten(transform(array(1, 2, 3), n -> transform(filter(sequence(0, greatest(size(words) - n, 0)), i -> i + n <= size(words)), i -> array_join(slice(words, i + 1, n), ' ')))))"
     scored = found.select("row", F.explode(F.expr(every)).alias("gram")).join(F.broadcast(_weights(spark)), "gram")  # a fixed table
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))]
@@ -124,15 +150,18 @@ def classify(docs: DataFrame, least_probability: float = 0.5, least_overlap: flo
         overlap = F.when(F.col("best.family") == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(overlap)
     out = out.withColumn("overlap", overlap)
     sure = (F.col("best.family") != UNKNOWN) & (F.col("probability") >= least_probability)
-    return out.select("row.doc_id", "row.at", F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"), "probability", "overlap", (sure & (F.col("overlap") >= least_overlap)).alias("confirmed"))
+    return out.select("row.doc_id", "row.at", "row.last", F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"), "probability", "overlap", (sure & (F.col("overlap") >= least_overlap)).alias("confirmed"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_paragraphs, n_licences, licences (line:family, by line) and the least probability of the confirmed ones."""
     confirmed = classify(docs, id_col=id_col, text_col=text_col, **options).filter("confirmed")
-    per_doc = confirmed.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("at", "family"))).alias("found"), F.min("probability").alias("least"))
-    counts = F.expr(f"size(filter(split(coalesce({text_col}, ''), '\n', -1), p -> p rlike '[^\\\\x20\\\\x09-\\\\x0D]'))").cast("long")
-    own = docs.select(F.col(id_col).alias("doc_id"), counts.alias("n_paragraphs")).groupBy("doc_id").agg(F.sum("n_paragraphs").alias("n_paragraphs"))
+    per_doc = confirmed.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("at", "family", "last", "probability"))).alias("shown"))
+    # A wrapped paragraph counts only for families that none of its lines shows.
+    of_line = "exists(shown, l -> l.last = l.at and l.family = w.family and l.at between w.at and w.last)"
+    per_doc = per_doc.select("id", F.expr(f"filter(shown, w -> w.last = w.at or not {of_line})").alias("found"))
+    counts = F.expr(f"size(filter(split(coalesce({quoted(text_col)}, ''), '\n', -1), p -> p rlike '[^\\\\x20\\\\x09-\\\\x0D]'))").cast("long")
+    own = docs.select(F.col(quoted(id_col)).alias("doc_id"), counts.alias("n_paragraphs")).groupBy("doc_id").agg(F.sum("n_paragraphs").alias("n_paragraphs"))
     joined = own.join(per_doc, own["doc_id"].eqNullSafe(per_doc["id"]), "left")
     written = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["at"].cast("string"), x["family"])), ",")
-    return joined.select("doc_id", "n_paragraphs", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licences"), F.coalesce(written, F.lit("")).alias("licences"), F.col("least").alias("least_probability"))
+    return joined.select("doc_id", "n_paragraphs", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licences"), F.coalesce(written, F.lit("")).alias("licences"), F.array_min(F.transform("found", lambda x: x["probability"])).alias("least_probability"))
