@@ -50,8 +50,8 @@ from weftline.llm._common import byte_texts, discard, fold, plain_text, slices,
 
 END = b""  # no word is empty
 START = 0  # the number of the mark before a document; words are numbered from 1
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 1 << 20  # tokens of the corpus for each shard
+BLOCK_BYTES = 6 << 20
+SHARD_TOKENS = 3 << 18  # tokens of the corpus for each shard
 CODES = 1 << 16  # levels of the quantised log probabilities
 LOWEST = -16.0
 BUCKETS = 64  # powers of two
@@ -197,7 +197,7 @@ class Trie:
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _expand(data: bytes) -> bytes:
@@ -468,7 +468,8 @@ def _scorer(backoff: np.ndarray, n_all: int, n_words: int, n_docs: int, names: l
             owner = np.repeat(np.arange(len(sizes)), sizes)
             known, base, p = (np.bincount(owner, x, len(sizes)) for x in (counts[0] > 0, np.log10(base), np.log10(p)))
             ids = part.column("ids").flatten()
-            yield pa.RecordBatch.from_arrays([ids, part.column("train").flatten(), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), n_all)), pa.array(base), pa.array(p)], names=names)
+            numbers = (sizes, known.astype(np.int64), np.full(len(sizes), n_all), base, p)
+            yield pa.RecordBatch.from_arrays([ids, part.column("train").flatten(), *map(pa.array, numbers)], names=names)
 
     return score
 
@@ -497,7 +498,8 @@ class NGramModel:
         numbered, texts = words.filter("block is not null"), blocks.select("block", "stream", "ends", "train", "ids")
         asked = texts.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(_asker(order, shards), _NUMBERS_DDL)
         counts = stored(asked.groupBy("shard").applyInArrow(_answerer(n_all), _NUMBERS_DDL), "lm-counts")
-        kinds = {"block": T.LongType(), "train": T.ArrayType(T.BooleanType()), "ids": T.ArrayType(kind), "ends": T.BinaryType(), "tokens": T.BinaryType(), "stats": T.ArrayType(T.DoubleType())}
+        kinds = {"block": T.LongType(), "train": T.ArrayType(T.BooleanType()), "ids": T.ArrayType(kind)}
+        kinds |= {"ends": T.BinaryType(), "tokens": T.BinaryType(), "stats": T.ArrayType(T.DoubleType())}
         replies = numbered.unionByName(counts).groupBy("block")
         resolved = texts.groupBy("block").cogroup(replies).applyInArrow(_resolver(order, shards, n_all, n_docs), T.StructType([T.StructField(x, kinds[x]) for x in _RESOLVED]))
         resolved = stored(resolved, "lm-tokens")
@@ -506,7 +508,8 @@ class NGramModel:
         for r in resolved.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each order and bucket
             stats[r["at"]] = r["n"]
         seen, once = np.moveaxis(stats.reshape(order - 1, 2, BUCKETS), 1, 0)
-        schema = T.StructType([T.StructField("doc_id", kind), T.StructField("trained", T.BooleanType())] + [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")])
+        fields = {"doc_id": kind, "trained": T.BooleanType(), **dict.fromkeys(("n_tokens", "n_known", "train_tokens"), T.LongType()), **dict.fromkeys(("base_score", "score"), T.DoubleType())}
+        schema = T.StructType([T.StructField(name, field) for name, field in fields.items()])
         return resolved.select("train", "ids", "ends", "tokens").mapInArrow(_scorer((once + 0.5) / (seen + 1), n_all, n_words, n_docs, schema.names), schema)
 
 
