@@ -70,7 +70,9 @@ def line_features(lines: list[bytes]) -> np.ndarray:
         upper = len(re.findall(rb"[A-Z]", line)) if letters else 0
         symbols = len(line) - len(line.translate(None, SYMBOLS))
         distinct = len(set(words)) / w
-        rows.append((1.0, np.log1p(len(words)) / 5, letters / n, upper / n, symbols / w, line.count(b"!") / w, 1 - distinct, float(distinct < 0.3 and w > 10), float(line in seen and w > 2), float(w < 3), float(symbols > 0.3 * w), float(upper > 0.5 * letters)))
+        shares = (letters / n, upper / n, symbols / w, line.count(b"!") / w, 1 - distinct)
+        marks = (distinct < 0.3 and w > 10, line in seen and w > 2, w < 3, symbols > 0.3 * w, upper > 0.5 * letters)
+        rows.append((1.0, np.log1p(len(words)) / 5, *shares, *map(float, marks)))
         seen.add(line)
     return np.array(rows)
 
@@ -215,7 +217,8 @@ def judge(docs: DataFrame, model: LineModel, least_share: float | None = None, l
     """
     least_share = model.least_share if least_share is None else least_share
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    verdicts = [T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), *verdicts])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
