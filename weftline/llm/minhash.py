@@ -170,6 +170,19 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("id", "label")
 
 
+BUCKET_PART = 1024  # rows of a large bucket that go together
+DEALS = 8  # parts of any bucket while its size is not known
+
+
+def _with_buckets(rows: DataFrame, buckets: DataFrame, keys: list[str], split: bool = True) -> DataFrame:
+    """``rows`` (id, band, n, ...) joined with ``buckets`` (``keys``, size, ...): a bucket of ``size`` rows meets them in parts of BUCKET_PART."""
+    if not split:
+        return rows.join(buckets.drop("size"), keys)
+    parts = lambda n: F.ceil(F.col(n) / BUCKET_PART).cast("long")
+    each = buckets.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), parts("size") - 1))).drop("size")
+    return rows.withColumn("deal", F.pmod(F.xxhash64("id"), parts("n"))).join(each, [*keys, "deal"]).drop("deal")
+
+
 def _led(buckets: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b, la, lb) of a leader a and a member b of its bucket or part of a bucket, in different classes."""
     if turn % 2:
@@ -178,8 +191,9 @@ def _led(buckets: DataFrame, turn: int) -> DataFrame:
         crowds = buckets.groupBy("id").agg(F.sum("n").alias("crowd"))
         grouped = buckets.withColumn("part", F.lit(0).cast("long")).join(crowds, "id")
     rank = F.struct((-F.col("crowd")).alias("c"), F.xxhash64(F.lit(turn), F.col("id")).alias("p"), "id", "label")
-    lead = grouped.groupBy("band", "part").agg(F.min(rank).alias("lead"))
-    return grouped.join(lead, ["band", "part"]).filter("label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb")).distinct()
+    lead = grouped.groupBy("band", "part").agg(F.min(rank).alias("lead"), F.max("n").alias("size"))
+    met = _with_buckets(grouped, lead, ["band", "part"], split=turn % 2 == 0).filter("label <> lead.label")
+    return met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb")).distinct()
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -234,7 +248,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     singles = signed.join(same.select(F.col("rep").alias("id"), F.col("digest").alias("d")), "id").filter("digest = d")
     banded = singles.select("id", F.explode(F.array_distinct("bands")).alias("band")).distinct()
     crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")  # only whole bands leave later, so n stays right
-    buckets = stored(banded.join(crowded, "band"), "buckets").withColumn("label", F.col("id"))
+    crowded = crowded.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    buckets = banded.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS))).join(crowded, ["band", "deal"]).drop("deal")
+    buckets = stored(buckets, "buckets").withColumn("label", F.col("id"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
     # Whole texts move once; the rounds read those of documents that share a bucket.
     held = stored(base.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
@@ -256,8 +272,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
                 kept = labels.join(new, labels["label"] == new["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
                 labels = stored(kept.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "classes")
             marked = buckets.join(new, buckets["label"] == new["old"], "left").select("id", "band", "n", F.coalesce("new", "label").alias("label"))
-            open_bands = marked.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-            buckets = stored(marked.join(open_bands, "band").select("id", "band", "n", "label"), "buckets")
+            open_bands = marked.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("size")).filter("x <> y").select("band", "size")
+            buckets = stored(_with_buckets(marked, open_bands, ["band"]).select("id", "band", "n", "label"), "buckets")
         if settling or buckets.isEmpty():
             break
         settling = found.count() * 10 <= pairs.count()
