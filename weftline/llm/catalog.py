@@ -49,7 +49,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep_text=False)
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("cell_weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
@@ -88,7 +88,7 @@ def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm.score_corpus(table(spark, sf_dir, "documents"))
-    return scores.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
