@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import byte_texts, discard, fresh, quoted, slices, stored, with_column
+from weftline.llm._common import by_batches, byte_texts, discard, fresh, quoted, slices, stored, with_column
 
 BUCKETS, SLOTS = 1 << 13, 4
 SEGMENTS = 8  # beyond which they are merged
@@ -123,7 +123,7 @@ def _references(docs: DataFrame, id_col: str, text_col: str, min_chars: int, sha
                 owners += [row] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids.take(pa.array(owners, pa.int64()))], names=["key", "doc_id"])
 
-    return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")).filter("doc_id is not null").mapInArrow(emit, schema)
+    return by_batches(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")).filter("doc_id is not null"), emit, schema)
 
 
 class LineIndex:
@@ -272,7 +272,7 @@ class LineIndex:
                 out = with_column(part, text_col, pa.array(texts, pa.binary()).cast(pa.string())).select(names)
                 yield with_column(with_column(out, n_lines, pa.array(lines, pa.int64())), n_dropped, pa.array(dropped, pa.int64()))
 
-        return joined.mapInArrow(rewrite, schema)
+        return by_batches(joined, rewrite, schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20) -> DataFrame:

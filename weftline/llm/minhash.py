@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import byte_texts, plain_text, slices, stored
+from weftline.llm._common import by_batches, byte_texts, plain_text, slices, stored
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", t
                     keys[i] = row.tolist()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text")).mapInArrow(sign, schema)
+    return by_batches(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), plain_text(text_col).alias("text")), sign, schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -150,7 +150,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     kind = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, schema)
+    return by_batches(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b"), compare, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _units(members: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(sets)), sizes))
             yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(np.repeat(sizes, sizes)), pa.array(unit)], names=schema.names)
 
-    return members.select("id", "label", "text").mapInArrow(cells, schema)
+    return by_batches(members.select("id", "label", "text"), cells, schema)
 
 
 def _unsettled(members: DataFrame, threshold: float) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import plain_text, slices, stored
+from weftline.llm._common import by_batches, plain_text, slices, stored
 
 #: Characters whose handling could differ between Python's and the tokenizer's own Unicode tables.
 _UNUSUAL = re.compile("[^\t\n\r -\x7e\xa1-\u02ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\u0130\xaa\xba]")
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *columns], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text")).mapInArrow(cut, schema)
+    return by_batches(docs.select(F.col(id_col).alias("doc_id"), plain_text(text_col).alias("text")), cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import byte_texts, fold, fresh, plain_text, slices, with_column
+from weftline.llm._common import by_batches, byte_texts, fold, fresh, plain_text, slices, with_column
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = b"!?"
@@ -181,7 +181,7 @@ class ToxicityModel:
                 out = with_column(part, name, pa.array(model.scores(byte_texts(part.column(text_col)), weights)))
                 yield out.select(schema.names)
 
-        return docs.mapInArrow(score, schema)
+        return by_batches(docs, score, schema)
 
 
 def _lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, at_least: int = 3, lift: float = 8.0, most: int = 5000) -> dict[bytes, float]:
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: str | None = None, max_labell
         return count
 
     def gathered(label: bool, only: frozenset | None) -> dict[int, Counter]:
-        found = rows.filter(F.col("label").cast("boolean") == label).mapInArrow(counts(only), "half int, unit binary, n long").groupBy("half", "unit").agg(F.sum("n").alias("n"))
+        found = by_batches(rows.filter(F.col("label").cast("boolean") == label), counts(only), "half int, unit binary, n long").groupBy("half", "unit").agg(F.sum("n").alias("n"))
         by_unit = found.groupBy("unit").agg(F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("half") == 1, F.col("n")).otherwise(0)).alias("n1"))
         out = {0: Counter(), 1: Counter()}
         for r in (by_unit.filter("n0 >= 2 or n1 >= 2").orderBy(F.desc(F.col("n0") + F.col("n1")), "unit").limit(max_units) if only is None else by_unit).collect():
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: str | None = None, max_labell
             found = [features(t, weights[h]) for t, h in zip(byte_texts(part.column("text")), part.column("half").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("label"), part.column("calibrates"), pa.array(found, pa.list_(pa.float64()))], names=["label", "calibrates", "x"])
 
-    table = rows.mapInArrow(describe, "label int, calibrates boolean, x array<double>").toPandas()
+    table = by_batches(rows, describe, "label int, calibrates boolean, x array<double>").toPandas()
     table = table.iloc[np.lexsort(np.stack(table["x"].to_numpy()).T)]  # the order of rows does not depend on the run
     x, y, calibrates = np.stack(table["x"].to_numpy()), (table["label"].to_numpy() > 0).astype(float), table["calibrates"].to_numpy(bool)
     if not 0 < y[~calibrates].mean() < 1 or not calibrates.any():
