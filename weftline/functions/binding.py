@@ -47,8 +47,25 @@ def signature(function: Callable) -> inspect.Signature:
         return _known.__wrapped__(function)
 
 
+@functools.lru_cache(maxsize=256)
+def _by_place(function: Callable) -> tuple[tuple[str, ...], int] | None:
+    """The names of a function's own parameters and how many of these need a value; None if some cannot be given both by place and by name."""
+    own = [p for p in signature(function).parameters.values() if p.name not in RESERVED]
+    if any(p.kind is not p.POSITIONAL_OR_KEYWORD for p in own):
+        return None
+    return tuple(p.name for p in own), sum(p.default is p.empty for p in own)
+
+
 def bind(function: Callable, element: Any) -> dict[str, Any]:
     """Arguments by name.  A dict must hold every parameter, defaults included, unless there is ``**kw``."""
+    if not isinstance(element, dict):
+        given = element if isinstance(element, tuple) else (element,)
+        try:
+            plain = _by_place(function)
+        except TypeError:  # it cannot be hashed
+            plain = None
+        if plain and plain[1] <= len(given) <= len(plain[0]):
+            return dict(zip(plain[0], given, strict=False))
     whole = signature(function)
     own = [p for p in whole.parameters.values() if p.name not in RESERVED]
     if isinstance(element, dict):
@@ -57,7 +74,6 @@ def bind(function: Callable, element: Any) -> dict[str, Any]:
         if missing and not loose:
             raise ValueError(f"missing arguments: {', '.join(sorted(missing))}")
         return dict(element)
-    given = element if isinstance(element, tuple) else (element,)
     return dict(whole.replace(parameters=own).bind(*given).arguments)
 
 

@@ -221,9 +221,8 @@ def retry_py(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, unnest(range(CAST(p_size AS BIGINT))) AS result FROM part")
 def fanout_py(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python call that answers with requests for further calls, each of which is then made."""
-    calls = opaque.calls_of(table(spark, sf_dir, "part"), "p_partkey", {"n": "p_size"})
-    asked = opaque.fan_out(opaque.apply(calls, lambda n: list(range(n))), _same)
-    return opaque.typed(opaque.apply(asked, _same, keep=["parent_id"]), "long").select(F.col("parent_id").alias("p_partkey"), "result")
+    out = opaque.fanned(table(spark, sf_dir, "part"), "p_partkey", {"n": "p_size"}, lambda n: list(range(n)), _same, "long")
+    return out.select(F.col("parent_id").alias("p_partkey"), "result")
 
 
 def _same(x: int) -> int:
